@@ -25,3 +25,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.substring_dedup import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"), length=50, with_text=False)
+
+
+@_query("op3_near_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.near_dedup import link
+
+    return link(table(spark, sf_dir, "documents"), shingle=4, percent=80)
