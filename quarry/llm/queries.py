@@ -32,3 +32,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.near_dedup import link
 
     return link(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
+@_query("op10_quality_classifier")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.quality import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
