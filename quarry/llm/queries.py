@@ -39,3 +39,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.quality import score
 
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query("op8_packing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), with_ids=False)
