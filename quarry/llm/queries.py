@@ -46,3 +46,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+@_query("op2_lm_score")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.lm_score import score
+
+    return score(table(spark, sf_dir, "documents"))
