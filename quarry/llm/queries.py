@@ -53,3 +53,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.lm_score import score
 
     return score(table(spark, sf_dir, "documents"))
+
+
+@_query("op5_secret_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.secrets import find
+
+    return find(table(spark, sf_dir, "documents")).drop("found")
