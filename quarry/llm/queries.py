@@ -60,3 +60,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.secrets import find
 
     return find(table(spark, sf_dir, "documents")).drop("found")
+
+
+@_query("op7_pii")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.pii import find
+
+    return find(table(spark, sf_dir, "documents")).drop("found")

@@ -45,7 +45,7 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 def _states(value: Column) -> Column:
     """The characters as numbers from 1; 0 for others."""
-    return F.transform(F.split(value, "(?!^)"), lambda c: F.instr(F.lit(ALPHABET), c))
+    return F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c))
 
 
 def _pairs(values: DataFrame) -> DataFrame:
