@@ -67,3 +67,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.pii import find
 
     return find(table(spark, sf_dir, "documents")).drop("found")
+
+
+@_query("op4_decontaminate")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.decontaminate import check
+
+    return check(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
