@@ -74,3 +74,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.decontaminate import check
 
     return check(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
+@_query("op6_quality_rules")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.quality_rules import judge
+
+    return judge(table(spark, sf_dir, "documents"))
