@@ -81,3 +81,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.quality_rules import judge
 
     return judge(table(spark, sf_dir, "documents"))
+
+
+@_query("op1_url_filter")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages"))
