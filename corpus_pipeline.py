@@ -1,10 +1,63 @@
-"""A corpus run: five stages, each over all that the one before kept."""
+"""A corpus run: five stages, each over all that the one before kept.
+
+Quality, near-duplicates and decontamination remove documents; personal data is replaced by its kind in brackets;
+packing returns where each piece goes. Stages remove by an anti-join with the ids that they reject, so documents
+without an id stay.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.llm import decontaminate, near_dedup, packing, pii, quality
+from quarry.llm.shared import scratch, table, written
+
+SHINGLE, PERCENT = 5, 80
 ORACLE_SQL = None
+"""The stages train models and pack, which SQL can't express; tests hold the rows against brute force."""
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, quality.score(docs, table(spark, sf_dir, "labels")).filter("predicted = 0"))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, near_dedup.link(docs, SHINGLE, PERCENT).filter("not kept"))
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, decontaminate.match(docs, table(spark, sf_dir, "benchmark")))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    columns = docs.columns
+    found = pii.find(docs, keep=tuple(c for c in columns if c != "doc_id"))
+    out = found.withColumn("text", pii.redacted(F.col("text"), F.col("found")))
+    return (out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out).select(columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, with_ids=False)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontaminate", decontaminate_stage),
+    ("pii", pii_stage),
+    ("packing", packing_stage),
+]
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, folder = table(spark, sf_dir, "documents"), scratch(spark)
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), folder, name)
+    return docs
