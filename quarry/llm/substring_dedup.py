@@ -127,12 +127,14 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = True) ->
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     known, rows = docs.filter("doc_id is not null"), "h long, doc_id long, pos int"
     found = known.mapInArrow(anchors(length), rows)
-    shared = found.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("h")
+    # tables of their own, so that the joins below meet plain exchanges, whose hot keys can be split
+    shared = written(found.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("h"), folder, "shared")
     places = written(found.join(shared, "h").groupBy("doc_id").agg(F.collect_set("pos").alias("shared")), folder, "places")
     # left joins keep both reads of the texts alike, so one exchange of texts serves both
     spread = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     longer = written(spread.join(places, "doc_id", "left").select("doc_id", "text", "shared").mapInArrow(candidates(length), rows), folder, "windows")
     first = longer.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h", "first")
+    first = written(first, folder, "first")
     starts = longer.join(first, "h").filter("doc_id > first").groupBy("doc_id").agg(F.collect_set("pos").alias("starts"))
     columns = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return spread.join(starts, "doc_id", "left").select("doc_id", "text", "starts").mapInArrow(_cut(length, with_text), columns)
