@@ -5,7 +5,8 @@ A signature is CHUNKS chunks of WIDTH symbols of 16 bits. Two signatures that di
 every place that error can take. So all pairs within that distance meet under a key. A pair that meets is
 linked if its exact Jaccard similarity reaches the threshold.
 
-Keys with many texts are not expanded into pairs. Each round compares the texts under a key with one hub,
+Keys with many texts are not expanded into pairs. Texts with too many shingles of their own to be linked with
+any other leave first, by an exact bound. Each round compares the texts under a key with one hub,
 the text that shares most keys with others, and joins what is linked; a key all of whose texts are connected
 is finished. Pairs under a key that stay unconnected after ROUNDS hubs are compared one by one if their
 signatures allow the similarity.
@@ -29,8 +30,8 @@ from quarry.llm.shared import dropped, scratch, written
 CHUNKS, WIDTH, ROUNDS = 10, 5, 2
 SYMBOLS = CHUNKS * WIDTH
 DISTANCE = 2 * CHUNKS - 1
-LOOSE_DISTANCE = 28
-"""At a similarity of 0.8 a signature is farther apart than this with a probability under 1e-8."""
+LOOSE_DISTANCE = 25
+"""At a similarity of 0.8 signatures are farther apart than this with a probability under 1e-6."""
 
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, (2, SYMBOLS), dtype=np.uint64) | U(1)
 
@@ -96,6 +97,31 @@ def _shingle_sets(size: int):
     return emit
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles")]
+        if sets:
+            yield pa.RecordBatch.from_pydict({"rep": pa.array(np.repeat(batch.column("rep").to_numpy(), [len(x) for x in sets])), "h": pa.array(np.concatenate(sets))})
+
+
+def _own_shingles(shingles: DataFrame) -> DataFrame:
+    """(rep, own): how many shingles of a text are in none of the others."""
+    once = shingles.mapInArrow(_exploded, "rep long, h long").groupBy("h").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).filter("n = 1")
+    return shingles.select("rep").join(once.groupBy("rep").agg(F.count("*").alias("own")), "rep", "left").select("rep", F.coalesce("own", F.lit(0)).alias("own"))
+
+
+def _able(met: DataFrame, percent: int) -> DataFrame:
+    """The (key, rep) rows of texts that can reach the similarity with another text under their key.
+
+    A text has at most size - own shingles in common with any other; with one of at least `least` shingles that
+    bounds the similarity by (size - own) / max(size, least + own).
+    """
+    least = met.groupBy("key").agg(F.min("size").alias("least"))
+    able = met.join(least, "key").filter(f"100 * (size - own) >= {percent} * greatest(size, least + own)")
+    able = able.select("key", "rep")
+    return able.join(able.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key")
+
+
 def _confirm(percent: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,19 +180,21 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     sets = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "total", "fold").agg(F.min_by("signature", "doc_id").alias("signature"), F.min("doc_id").alias("rep"))
     reps = written(sets, folder, "reps")
     keys = reps.select("rep", "signature").mapInArrow(_keys, "key long, rep long")
-    often = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = written(keys.join(often, "key"), folder, "shared")
-    weights = shared.groupBy("rep").agg(F.sum("n").alias("weight"))
-    ids = written(weights.join(reps, "rep").select("rep", "n_shingles", "weight", "signature"), folder, "ids")
-    spread = docs.withColumnRenamed("doc_id", "rep").join(ids.select("rep"), "rep").dropDuplicates(["rep"])
+    often = written(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), folder, "often")
+    met = written(keys.join(often, "key"), folder, "met")
+    spread = docs.withColumnRenamed("doc_id", "rep").join(met.select("rep").distinct(), "rep").dropDuplicates(["rep"])
     shingles = written(spread.select("rep", "text").mapInArrow(_shingle_sets(shingle), "rep long, shingles binary"), folder, "shingles")
+    size = written(_own_shingles(shingles).join(reps, "rep").select("rep", F.col("n_shingles").alias("size"), "own", "signature"), folder, "sizes")
+    shared = written(_able(met.join(size.select("rep", "size", "own"), "rep"), percent), folder, "shared")
+    ids = size.select("rep", "signature")
+    size = size.select("rep", "size")
+    weights = shared.join(shared.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("rep").agg(F.sum("n").alias("weight"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         x = shingles.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
         y = shingles.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
         return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
 
-    size = ids.select("rep", F.col("n_shingles").alias("size"))
     links = spark.createDataFrame([], "a long, b long")
     groups = size.select("rep", F.col("rep").alias("component"))
     open_keys = shared.join(weights, "rep").select("key", "rep", "weight")
@@ -182,8 +210,7 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
             one, two = left.select("key", F.col("rep").alias("a"), F.col("component").alias("ca")), left.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
             pairs = one.join(two, "key").filter("a < b and ca <> cb").select("a", "b").distinct()
         pairs = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
-        signs = ids.select("rep", "signature")
-        pairs = pairs.join(signs.toDF("a", "x"), "a").join(signs.toDF("b", "y"), "b").mapInArrow(_near(LOOSE_DISTANCE), "a long, b long")
+        pairs = pairs.join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b").mapInArrow(_near(LOOSE_DISTANCE), "a long, b long")
         new = written(confirmed(pairs), folder, f"links{turn}")
         if turn and new.isEmpty():
             continue
