@@ -8,8 +8,8 @@ linked if its exact Jaccard similarity reaches the threshold.
 Keys with many texts are not expanded into pairs. Texts with too many shingles of their own to be linked with
 any other leave first, by an exact bound. Each round compares the texts under a key with one hub,
 the text that shares most keys with others, and joins what is linked; a key all of whose texts are connected
-is finished. Pairs under a key that stay unconnected after ROUNDS hubs are compared one by one if their
-signatures allow the similarity.
+is finished. What stays unconnected after ROUNDS hubs is compared one by one, but for texts whose rare shingles
+rule that out.
 
 Texts with equal sets are one text. Null and empty texts have no set and link with nothing. Rows without
 doc_id are returned with a null component and kept. Repeated rows get the same result each.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from quarry.llm.hashing import U, mixed, windows, word_chunks
 from quarry.llm.shared import dropped, scratch, written
 
-CHUNKS, WIDTH, ROUNDS = 10, 5, 2
+CHUNKS, WIDTH, ROUNDS, RARE = 10, 5, 2, 8
 SYMBOLS = CHUNKS * WIDTH
 DISTANCE = 2 * CHUNKS - 1
 LOOSE_DISTANCE = 25
@@ -83,7 +83,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k in range(WIDTH):
                     if k != wild:
                         packed = (packed << U(16)) | signs[:, chunk, k]
-                key = mixed(mixed(packed) + U(chunk * WIDTH + wild + 1))
+                place = U(chunk * WIDTH + wild)
+                key = (mixed(mixed(packed) + place + U(1)) & ~U(63)) | place
                 yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "rep": pa.array(ids)})
 
 
@@ -122,6 +123,40 @@ def _able(met: DataFrame, percent: int) -> DataFrame:
     return able.join(able.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key")
 
 
+def _first_and_near() -> str:
+    """SQL for signatures x and y under `key`: no key before it is shared, and at most LOOSE_DISTANCE symbols differ.
+
+    The last six bits of a key are its place: chunk * WIDTH + the symbol left out.
+    """
+    same = [" + ".join(f"int(substring(x, {2 * k + 1}, 2) = substring(y, {2 * k + 1}, 2))" for k in range(c * WIDTH, (c + 1) * WIDTH)) for c in range(CHUNKS)]
+    before = " or ".join(f"(key & 63) div {WIDTH} > {c} and {same[c]} >= {WIDTH - 1} or (key & 63) div {WIDTH} = {c} and (key & 63) % {WIDTH} > 0 and {same[c]} = {WIDTH}" for c in range(CHUNKS))
+    return f"{' + '.join(same)} >= {SYMBOLS - LOOSE_DISTANCE} and not ({before})"
+
+
+def _rest(left: DataFrame, shingles: DataFrame, size: DataFrame, ids: DataFrame, folder: str, percent: int) -> DataFrame:
+    """(a, b): the pairs under a key and of two components that may still be linked.
+
+    Texts that share a shingle of at most RARE of these texts are pairs. Any others have no rare shingle in common,
+    so a text's rare shingles count as its own in the bound of _able.
+    """
+    held = written(shingles.join(left.select("rep").distinct(), "rep").mapInArrow(_exploded, "rep long, h long"), folder, "held")
+    rare = written(held.join(held.groupBy("h").agg(F.count("*").alias("n")).filter(f"n <= {RARE}").select("h"), "h"), folder, "rare")
+    own = size.join(rare.groupBy("rep").agg(F.count("*").alias("own")), "rep", "left").select("rep", "size", F.coalesce("own", F.lit(0)).alias("own"))
+    component = left.select("rep", "component").distinct()
+    able = _able(left.select("key", "rep").join(own, "rep"), percent).join(component, "rep")
+    open_keys = able.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
+    able = written(able.join(open_keys, "key"), folder, "able")
+    able = able.select("key", "rep", "component").join(ids, "rep")
+    one, two = able.toDF("a", "key", "ca", "x"), able.toDF("b", "key2", "cb", "y")
+    # all conditions stand in the join: it gives a pair once, under its first key, if the signatures are near enough
+    under_key = one.join(two, F.expr(f"key = key2 and a < b and ca <> cb and {_first_and_near()}")).select("a", "b")
+    met = F.array_sort(F.collect_list("rep"))
+    few = rare.groupBy("h").agg(met.alias("m")).filter("size(m) > 1").select("m").distinct()
+    some = few.select(F.explode("m").alias("a"), "m").select("a", F.explode("m").alias("b")).filter("a < b").distinct()
+    some = some.join(component.toDF("a", "ca"), "a").join(component.toDF("b", "cb"), "b").filter("ca <> cb").select("a", "b")
+    return under_key.union(some).distinct()
+
+
 def _confirm(percent: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,8 +242,7 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
             # a hub is chosen once under a key
             open_keys = left.select("key", "rep", F.when(F.col("rep") == F.col("hub"), 0).otherwise(F.col("weight")).alias("weight"))
         else:
-            one, two = left.select("key", F.col("rep").alias("a"), F.col("component").alias("ca")), left.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
-            pairs = one.join(two, "key").filter("a < b and ca <> cb").select("a", "b").distinct()
+            pairs = _rest(left, shingles, size, ids, folder, percent)
         pairs = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
         pairs = pairs.join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b").mapInArrow(_near(LOOSE_DISTANCE), "a long, b long")
         new = written(confirmed(pairs), folder, f"links{turn}")
