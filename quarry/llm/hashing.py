@@ -15,7 +15,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _INNER = np.ones(256, bool)
 _INNER[[9, 10, 11, 12, 13, 32]] = False
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -73,7 +73,7 @@ class Words:
 
 
 def word_chunks(texts: pa.Array) -> Iterator[Words]:
-    """Words of a string array, a megabyte or one text at a time. Null counts as empty."""
+    """Words of a string array, CHUNK_BYTES or one text at a time. Null counts as empty."""
     texts = texts.cast(pa.large_string())
     if texts.null_count:
         texts = texts.fill_null("")
