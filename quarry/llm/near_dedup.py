@@ -123,17 +123,7 @@ def _able(met: DataFrame, percent: int) -> DataFrame:
     return able.join(able.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key")
 
 
-def _first_and_near() -> str:
-    """SQL for signatures x and y under `key`: no key before it is shared, and at most LOOSE_DISTANCE symbols differ.
-
-    The last six bits of a key are its place: chunk * WIDTH + the symbol left out.
-    """
-    same = [" + ".join(f"int(substring(x, {2 * k + 1}, 2) = substring(y, {2 * k + 1}, 2))" for k in range(c * WIDTH, (c + 1) * WIDTH)) for c in range(CHUNKS)]
-    before = " or ".join(f"(key & 63) div {WIDTH} > {c} and {same[c]} >= {WIDTH - 1} or (key & 63) div {WIDTH} = {c} and (key & 63) % {WIDTH} > 0 and {same[c]} = {WIDTH}" for c in range(CHUNKS))
-    return f"{' + '.join(same)} >= {SYMBOLS - LOOSE_DISTANCE} and not ({before})"
-
-
-def _rest(left: DataFrame, shingles: DataFrame, size: DataFrame, ids: DataFrame, folder: str, percent: int) -> DataFrame:
+def _rest(left: DataFrame, shingles: DataFrame, size: DataFrame, folder: str, percent: int) -> DataFrame:
     """(a, b): the pairs under a key and of two components that may still be linked.
 
     Texts that share a shingle of at most RARE of these texts are pairs. Any others have no rare shingle in common,
@@ -146,10 +136,11 @@ def _rest(left: DataFrame, shingles: DataFrame, size: DataFrame, ids: DataFrame,
     able = _able(left.select("key", "rep").join(own, "rep"), percent).join(component, "rep")
     open_keys = able.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
     able = written(able.join(open_keys, "key"), folder, "able")
-    able = able.select("key", "rep", "component").join(ids, "rep")
+    # a key's last six bits are its place, so a pair has a first key in common; the join gives it there only
+    keys = F.transform(F.sort_array(F.collect_set(F.struct((F.col("key").bitwiseAND(63)).alias("place"), "key"))), lambda k: k["key"])
+    able = able.select("key", "rep", "component").join(able.groupBy("rep").agg(keys.alias("keys")), "rep")
     one, two = able.toDF("a", "key", "ca", "x"), able.toDF("b", "key2", "cb", "y")
-    # all conditions stand in the join: it gives a pair once, under its first key, if the signatures are near enough
-    under_key = one.join(two, F.expr(f"key = key2 and a < b and ca <> cb and {_first_and_near()}")).select("a", "b")
+    under_key = one.join(two, F.expr("key = key2 and a < b and ca <> cb and array_intersect(x, y)[0] = key")).select("a", "b")
     met = F.array_sort(F.collect_list("rep"))
     few = rare.groupBy("h").agg(met.alias("m")).filter("size(m) > 1").select("m").distinct()
     some = few.select(F.explode("m").alias("a"), "m").select("a", F.explode("m").alias("b")).filter("a < b").distinct()
@@ -239,12 +230,12 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
         left = written(placed.join(unfinished.select("key", "hub", "hub_component"), "key"), folder, f"left{turn}")
         if turn < ROUNDS:
             pairs = left.filter("component <> hub_component").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+            pairs = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
+            pairs = pairs.join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b").mapInArrow(_near(LOOSE_DISTANCE), "a long, b long")
             # a hub is chosen once under a key
             open_keys = left.select("key", "rep", F.when(F.col("rep") == F.col("hub"), 0).otherwise(F.col("weight")).alias("weight"))
         else:
-            pairs = _rest(left, shingles, size, ids, folder, percent)
-        pairs = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
-        pairs = pairs.join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b").mapInArrow(_near(LOOSE_DISTANCE), "a long, b long")
+            pairs = _rest(left, shingles, size, folder, percent)
         new = written(confirmed(pairs), folder, f"links{turn}")
         if turn and new.isEmpty():
             continue
