@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from quarry.llm.hashing import U, mixed, windows, word_chunks
 from quarry.llm.shared import dropped, scratch, written
 
-CHUNKS, WIDTH, ROUNDS, RARE = 10, 5, 2, 8
+CHUNKS, WIDTH, ROUNDS, RARE = 10, 5, 1, 8
 SYMBOLS = CHUNKS * WIDTH
 DISTANCE = 2 * CHUNKS - 1
 LOOSE_DISTANCE = 25
