@@ -2,32 +2,52 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
+DENSITY_FROM = 256
 _SYMBOL = "struct<name:string,kind:string,signature:string,line_start:bigint,line_end:bigint,exported:boolean>"
 _IMPORT = "struct<imported_name:string,raw_path:string,line_number:bigint,candidates:array<string>>"
 
 
+def density(raw: bytes) -> float | None:
+    """The gzipped share of a content's size; none below 256 bytes, where headers would weigh too much."""
+    if len(raw) < DENSITY_FROM:
+        return None
+    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return (len(packer.compress(raw)) + len(packer.flush())) / len(raw)
+
+
+@F.pandas_udf(DoubleType())
+def gzip_density(content: pd.Series) -> pd.Series:
+    return content.map(lambda t: density((t or "").encode()))
+
+
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from quarry.lang import reader
+    from quarry.lang.summary import summary
 
     for batch in batches:
         rows = []
         for path, content in zip(batch["path"], batch["content"], strict=True):
-            ext, text = path.rsplit(".", 1)[-1], content or ""
+            name, text = path.rsplit("/", 1)[-1], content or ""
+            ext = name.rsplit(".", 1)[-1]
             found = [vars(s) for s in reader.symbols(text, ext)]
             used = [{"imported_name": i.name, "raw_path": i.raw_path, "line_number": i.line, "candidates": reader.candidates(i.raw_path, path, ext)} for i in reader.imports(text, ext)]
-            rows.append((path, found, used))
-        yield pd.DataFrame(rows, columns=["path", "symbols", "imports"])
+            rows.append((summary(text, ext), density(text.encode()), found, used))
+        read = pd.DataFrame(rows, columns=["declared", "density", "symbols", "imports"], index=batch.index)
+        yield pd.concat([batch.drop(columns="content"), read], axis=1)
 
 
 def parsed(files: DataFrame) -> DataFrame:
-    """(path, symbols, imports) with arrays; cache or write it, as several tables come from it."""
-    return files.select("path", "content").mapInPandas(_parse, f"path string, symbols array<{_SYMBOL}>, imports array<{_IMPORT}>")
+    """The files without their content, with declared, density and the arrays symbols and imports; write it, as several tables come from it."""
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name != "content")
+    return files.mapInPandas(_parse, f"{kept}, declared string, density double, symbols array<{_SYMBOL}>, imports array<{_IMPORT}>")
 
 
 def symbols(parsed_files: DataFrame) -> DataFrame:

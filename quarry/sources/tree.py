@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # Folders that are never entered, and what counts as a source file.
-SKIPPED = (".git", "node_modules", "__pycache__")
+SKIPPED = (".quarry", ".git", "node_modules", "__pycache__")
 EXTENSIONS = "rs ts tsx js jsx mjs cjs py go rb java kt swift c cpp h hpp sh bash zsh fish json yaml yml toml xml ini conf cfg md mdx txt rst adoc html htm css scss sass less sql graphql gql tf tfvars hcl proto thrift avsc vue svelte lock".split()
 NAMES = ("Makefile", "Dockerfile", "Justfile", "justfile", "Rakefile", "Gemfile", "Brewfile", ".gitignore", ".gitattributes", ".editorconfig", ".eslintrc", ".prettierrc", ".babelrc", "LICENSE", "CHANGELOG")
 
@@ -26,6 +26,18 @@ def scannable(path: Column) -> Column:
     return F.when(ext == "", name.isin(*NAMES)).otherwise(ext.isin(*EXTENSIONS))
 
 
+def is_scannable(path: str) -> bool:
+    """The same test for one path on the driver."""
+    name = path.rsplit("/", 1)[-1]
+    stem, dot, ext = name.rpartition(".")
+    return ext in EXTENSIONS if dot and stem else name in NAMES
+
+
+def mappable(path: Column) -> Column:
+    """Scannable and no part of the path is hidden."""
+    return scannable(path) & ~F.exists(F.split(path, "/"), lambda part: F.startswith(part, F.lit(".")))
+
+
 def _rules(folder: str) -> list[tuple[str, bool, bool, bool]]:
     """(pattern, negated, only folders, anchored) of a .gitignore."""
     try:
