@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import describe, scalars
-from quarry.operators import graph, ledger, search, stale
+from quarry.operators import extract, fulltext, graph, ledger, search, stale
 from quarry.plans import relations as R
+from quarry.sources import git, mapfile
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -91,7 +92,25 @@ _add("bar_and_rate", lambda s, d: R.table(s, d, "orders").select("o_orderkey", s
 _HEADER = "'@@ -' || l_partkey || ',' || (l_linenumber % 3) || ' +' || l_suppkey || ',' || (l_linenumber % 2) || ' @@'"
 _header = lambda: F.concat(F.lit("@@ -"), F.col("l_partkey").cast("string"), F.lit(","), (F.col("l_linenumber") % 3).cast("string"), F.lit(" +"), F.col("l_suppkey").cast("string"), F.lit(","), (F.col("l_linenumber") % 2).cast("string"), F.lit(" @@"))
 _add("hunk_header_parse", lambda s, d: R.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", scalars.hunk_range(_header()).alias("r")).select("l_orderkey", "l_linenumber", F.col("r.start").alias("lo"), F.col("r.end").alias("hi")), "select l_orderkey, l_linenumber, case when l_linenumber % 2 > 0 then l_suppkey when l_linenumber % 3 > 0 then l_partkey end as lo, case when l_linenumber % 2 > 0 then l_suppkey when l_linenumber % 3 > 0 then l_partkey + l_linenumber % 3 - 1 end as hi from lineitem")
-_add("html_title", lambda s, d: R.table(s, d, "pages").select("page_id", describe.html_title(F.col("html")).alias("title")), "select page_id, case when trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) = '' then 'html source file' else trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) end as title from pages")
+_add("html_title", lambda s, d: R.table(s, d, "pages").select("page_id", describe.html_title(F.col("html")).alias("title")), "select page_id, case when regexp_matches(html, '<title>([^<]+)</title>') then trim(regexp_extract(html, '<title>([^<]+)</title>', 1)) else 'HTML document' end as title from pages")
 _add("hook_json_extract", lambda s, d: R.table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k")), "select event_id, json_extract_string(props, '$.k') as k from events")
 _add("project_longest_prefix", lambda s, d: graph.owning_root(R.files(s, d).select("path"), R.files(s, d).select(F.regexp_extract("path", "^(.*)/", 1).alias("root")).union(R.files(s, d).select(F.col("lang").alias("root"))).filter(~F.endswith("root", F.lit("3"))).distinct()), f"select path, case when regexp_extract(path, '^(.*)/', 1) like '%3' then regexp_extract(path, '^([^/]*)/', 1) else regexp_extract(path, '^(.*)/', 1) end as root from {R.FILES}")
 _add("line_explode", lambda s, d: R.table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "content")).select("doc_id", (F.col("line") + 1).alias("line"), F.length("content").alias("chars")), "select doc_id, generate_subscripts(l, 1)::int as line, length(unnest(l))::int as chars from (select doc_id, string_split(text, chr(10)) as l from documents)")
+
+_name = lambda: F.regexp_extract("path", "([^/]*)$", 1)
+_add("describe_files", lambda s, d: R.files(s, d).select("path", describe.describe(_name(), F.col("ext"), F.col("text")).alias("description")), f"select path, case ext when 'md' then case when regexp_matches(text, '(^|\\n)# ') then trim(regexp_extract(text, '(^|\\n)# ([^\\n]*)', 2)) else 'markdown document' end when 'json' then 'JSON data' else ext || ' source file' end as description from {R.FILES}")
+_add("gzip_density", lambda s, d: R.files(s, d).select("path", extract.gzip_density("text").alias("density")))
+_add("map_lines", lambda s, d: mapfile.lines(R.files(s, d).select("path", F.col("lang").alias("description"), F.col("n_chars").alias("token_estimate"), ((F.col("n_chars") % 100) / 100.0).alias("density"))), f"select regexp_extract(path, '^(.*)/', 1) as folder, path, '- `' || regexp_extract(path, '([^/]*)$', 1) || '` — ' || lang || ' (~' || n_chars || ' tok' || case when (n_chars % 100) / 100.0 < 0.15 then ', repetitive' when (n_chars % 100) / 100.0 >= 0.5 then ', dense' else '' end || ')' as line from {R.FILES}")
+_tail = lambda: F.concat(F.lit(" — "), F.col("o_orderpriority"), F.lit(" (~"), F.col("o_orderkey").cast("string"), F.lit(" tok"), F.when(F.col("o_orderkey") % 3 == 0, ", dense").when(F.col("o_orderkey") % 3 == 1, ", repetitive").otherwise(""), F.lit(")"))
+_add("map_tail_parse", lambda s, d: R.table(s, d, "orders").select("o_orderkey", mapfile.entry_tail(_tail()).alias("e")).select("o_orderkey", "e.*"), "select o_orderkey, o_orderpriority as description, o_orderkey as token_estimate, case o_orderkey % 3 when 0 then 0.55::double when 1 then 0.1::double end as density from orders")
+_key = lambda: F.col("s_suppkey").cast("string")
+_diff = lambda: F.concat(F.lit("--- a/f"), _key(), F.lit("\n+++ b/"), F.when(F.col("s_suppkey") % 2 == 0, "g").otherwise("f"), _key(), F.lit("\n@@ -5,2 +"), _key(), F.lit(",3 @@\n--- a/gone"), _key(), F.lit("\n+++ /dev/null\n@@ -1,"), _key(), F.lit(" +0,0 @@\n"))
+_add("diff_hunks", lambda s, d: git.hunks(R.table(s, d, "supplier").select("s_suppkey", _diff().alias("diff")), keep=("s_suppkey",)), """
+select s_suppkey, case when s_suppkey % 2 = 0 then 'g' else 'f' end || s_suppkey as file_path, s_suppkey as "start", s_suppkey + 2 as "end" from supplier
+union all select s_suppkey, 'f' || s_suppkey, 5, 6 from supplier where s_suppkey % 2 = 0
+union all select s_suppkey, 'gone' || s_suppkey, 1, s_suppkey from supplier where s_suppkey > 0""")
+_add("find_fulltext", lambda s, d: fulltext.match(R.symbols(s, d), 'signature:"large widget" OR kind:struct', ("name",), None).select("name", F.round("score", 6).alias("score")), f"""
+with c as (select name, 3 + len(string_split(signature, ' ')) as n, (signature = 'large widget')::int as t0, (kind = 'struct')::int as t1 from {R.SYMBOLS}),
+s as (select count(*) as docs, avg(n) as mean, sum(t0) as n0, sum(t1) as n1 from c),
+i as (select mean, greatest(ln((docs - n0 + 0.5) / (n0 + 0.5)), 1e-6) as i0, greatest(ln((docs - n1 + 0.5) / (n1 + 0.5)), 1e-6) as i1 from s)
+select name, round((i0 * t0 + i1 * t1) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * n / mean)), 6) as score from c, i where t0 + t1 > 0""")
