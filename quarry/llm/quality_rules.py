@@ -22,11 +22,12 @@ from quarry.llm.shared import scratch, split_words, written
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-LEAST, HALF, STEPS, CUT = 200, 0.75, 3, 80.0
+LEAST, HALF, STEPS, CUT = 200, 0.75, 3, 18.467
+"""CUT is the 0.999 quantile of chi-square with a degree of freedom per statistic."""
 CONSISTENCY = 1.486
 """Makes the covariance of the nearest three quarters of a 4-dimensional normal that of the whole."""
-FLOORS = (0.08, 0.08, 0.12, 0.12)
-"""Spread that any group is granted in each statistic."""
+FLOORS = (0.04, 0.04, 0.10, 0.10)
+"""Spread that any group is granted in each statistic: of repeats, what a single repeated line or passage moves a short text by."""
 DIMS = range(len(FLOORS))
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 

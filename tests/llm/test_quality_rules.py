@@ -56,3 +56,18 @@ def test_outliers_of_a_group_go(spark):
     docs += [(1000, " ".join(word() + "***" for _ in range(100)), "en", "s"), (1001, " ".join(word() * 9 for _ in range(100)), "en", "s"), (1002, "\n".join(["one two three four five"] + [word() for _ in range(60)] + ["x y"] * 60), "en", "s")]
     kept = {x.doc_id: x.kept for x in judge(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
     assert all(kept[i] for i in range(300)) and not any(kept[i] for i in (1000, 1001, 1002))
+
+
+def test_each_statistic_alone_rejects(spark):
+    r = random.Random(9)
+    word = lambda a=3, b=9: "".join(r.choice("abcdefgh") for _ in range(r.randrange(a, b)))
+    docs = {i: " ".join(word() for _ in range(100)) for i in range(300)}
+    passage = " ".join(word() for _ in range(22))
+    docs[1000] = " ".join(word(6, 17) for _ in range(100))
+    docs[1001] = " ".join(word()[1:] + "#" * (k % 2) for k in range(100))
+    docs[1002] = "\n".join(f"hgfed\n{word()}" for _ in range(50))
+    docs[1003] = " ".join([passage, *(word() for _ in range(56)), passage])
+    rows = judge(spark.createDataFrame([(i, t, "en", "s") for i, t in docs.items()], "doc_id long, text string, lang string, source string")).collect()
+    kept = {x.doc_id: x.kept for x in rows}
+    assert not any(x.base_failed for x in rows)
+    assert sum(kept[i] for i in range(300)) >= 297 and not any(kept[i] for i in (1000, 1001, 1002, 1003))
