@@ -3,8 +3,8 @@
 Each text gets four transformed statistics (log word length, and square roots of the shares of symbols, of
 repeated lines and of repeated words beyond what its length explains). Per language and source, a minimum
 covariance determinant estimate concentrates on the HALF of the texts nearest to the centre, in STEPS steps; texts
-whose Mahalanobis distance from it is over CUT go. Groups of fewer than LEAST texts count with their language, and
-languages with fewer with all. Quantiles come from counted bins, so that every step is sums per group.
+whose Mahalanobis distance from it is over CUT go. Groups of fewer than LEAST texts with words are held against all
+texts of their language, and languages with fewer against all texts. Quantiles come from counted bins, so that every step is sums per group.
 
 Null and empty texts have no words and fail the fixed limits. Repeated rows get the same result each; a null
 language or source is a group of its own. Rows without doc_id are judged like others.
@@ -94,12 +94,19 @@ def judge(docs: DataFrame, cut: float = CUT, steps: int = STEPS, least: int = LE
     counts = base_counts(docs, ["doc_id", "lang", "source"])
     counts = counts.select("*", *(s.alias(f"s{i}") for i, s in enumerate(statistics(*map(F.col, BASE)))))
     held = written(counts, folder, "counts")
-    groups = held.groupBy("lang", "source").agg(F.count("*").alias("n")).withColumn("in_lang", F.sum("n").over(W.partitionBy("lang")))
-    key = F.when(F.col("n") >= least, F.to_json(F.struct("lang", "source"))).when(F.col("in_lang") >= least, F.to_json(F.struct("lang"))).otherwise("*")
-    groups = groups.select(F.col("lang").alias("l"), F.col("source").alias("o"), key.alias("g"))
-    rows = held.join(groups, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("o"))).select("doc_id", *BASE, *(f"s{i}" for i in DIMS), "g")
+    sizes = held.groupBy("lang", "source").agg(F.count(F.when(F.col("n_words") > 0, 1)).alias("n"))
+    langs = sizes.groupBy("lang").agg(F.sum("n").alias("in_lang"), F.min("n").alias("fewest")).withColumnRenamed("lang", "a")
+    groups = sizes.join(langs, F.col("lang").eqNullSafe(F.col("a")))
+    own, of_lang = F.to_json(F.struct("lang", "source")), F.to_json(F.struct("lang"))
+    key = F.when(F.col("n") >= least, own).when(F.col("in_lang") >= least, of_lang).otherwise("*")
+    # a level that any group falls back to is estimated from all its rows, also those of groups with their own estimate
+    fallen = groups.select(F.col("in_lang") < least).distinct().collect()
+    levels = F.array(F.when(F.col("n") >= least, own), F.when((F.col("in_lang") >= least) & (F.col("fewest") < least), of_lang), F.lit("*" if any(x for (x,) in fallen) else None))
+    groups = groups.select(F.col("lang").alias("l"), F.col("source").alias("o"), key.alias("g"), F.array_compact(levels).alias("levels"))
+    rows = held.join(groups, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("o"))).select("doc_id", *BASE, *(f"s{i}" for i in DIMS), "g", "levels")
     rows = written(rows, folder, "rows")
-    vectors = rows.filter("n_words > 0").select("g", *(f"s{i}" for i in DIMS))
+    vectors = rows.filter("n_words > 0").select(F.explode("levels").alias("g"), *(f"s{i}" for i in DIMS))
+    rows = rows.drop("levels")
     medians = reduce(lambda a, i: a.join(binned_quantile(vectors, "g", F.col(f"s{i}"), 0.5, f"m{i}", 512), "g"), list(DIMS)[1:], binned_quantile(vectors, "g", F.col("s0"), 0.5, "m0", 512))
     start = medians.select("*", *(F.lit(3 * FLOORS[i] if i == j else 0.0).alias(f"c{i}{j}") for i in DIMS for j in range(i + 1)))
     estimate = written(start, folder, "estimate0")
@@ -107,7 +114,7 @@ def judge(docs: DataFrame, cut: float = CUT, steps: int = STEPS, least: int = LE
         near = with_distance(vectors, estimate)
         log = F.log2(F.col("d") + 1e-6)
         edge = binned_quantile(near, "g", log, HALF, "edge", 64)
-        estimate = written(moments(near.join(edge, "g").filter(log <= F.col("edge"))), folder, f"estimate{step}")
+        estimate = written(moments(near.join(F.broadcast(edge), "g").filter(log <= F.col("edge"))), folder, f"estimate{step}")
     out = with_distance(rows, estimate)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     kept = ~failed & (F.coalesce("d", F.lit(0.0)) <= cut)

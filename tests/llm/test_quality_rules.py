@@ -71,3 +71,16 @@ def test_each_statistic_alone_rejects(spark):
     kept = {x.doc_id: x.kept for x in rows}
     assert not any(x.base_failed for x in rows)
     assert sum(kept[i] for i in range(300)) >= 297 and not any(kept[i] for i in (1000, 1001, 1002, 1003))
+
+
+def test_rare_sources_are_held_against_their_whole_language(spark):
+    r = random.Random(10)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(3, 9)))
+    plain, junk = (lambda: " ".join(word() for _ in range(100))), (lambda: " ".join(word() + "***" for _ in range(100)))
+    docs = [(i, plain(), "en", "big") for i in range(300)] + [(1000, junk(), "en", "rare"), (1001, plain(), "en", "rare"), (1002, junk(), "en", None)]
+    docs += [(2000, junk(), "xx", "a"), (2001, plain(), "xx", "a"), (2002, junk(), None, "b")]
+    docs += [(3000 + i, "", "en", "empty") for i in range(250)] + [(3999, junk(), "en", "empty")]
+    rows = judge(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()
+    kept = {x.doc_id: x.kept for x in rows}
+    assert len(rows) == len(docs) and sum(kept[i] for i in range(300)) >= 297 and kept[1001] and kept[2001]
+    assert not any(kept[i] for i in (1000, 1002, 2000, 2002, 3999))
