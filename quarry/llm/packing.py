@@ -13,6 +13,7 @@ too, with a null doc_id.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -27,6 +28,9 @@ from pyspark.sql import functions as F
 from quarry.llm.shared import scratch, written
 
 SIZE, END, ROWS_PER_BUCKET = 2048, 0, 100_000
+LONG = 100_000
+"""Runs of blanks from this length are cut out before the pattern sees them: its stack overflows at a million."""
+BLANK_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 @cache
@@ -41,8 +45,15 @@ def _encoding(name: str):
 
 
 def token_ids(text: str | None, vocabulary: str) -> np.ndarray:
-    """All ids of a text, the end token last."""
-    ids = _encoding(vocabulary).encode_ordinary(text) if text else []
+    """All ids of a text, the end token last. Markers of the tokenizer in a text are text."""
+    encoding, ids, at, text = _encoding(vocabulary), [], 0, text or ""
+    for run in BLANK_RUN.finditer(text) if len(text) >= LONG else ():
+        if run.end() - run.start() >= LONG:
+            # as the pattern does: all blanks are one piece, but the last before a word is left to it
+            end = run.end() - (run.end() < len(text))
+            ids += encoding.encode_ordinary(text[at : run.start()]) + encoding._encode_single_piece(text[run.start() : end])
+            at = end
+    ids += encoding.encode_ordinary(text[at:])
     return np.array([*ids, END], dtype="<u4")
 
 

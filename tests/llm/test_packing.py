@@ -91,3 +91,8 @@ def test_repeats_carry_large_inputs():
 
 def test_ids_end_with_zero():
     assert token_ids(None, "byte_bpe_50k.tiktoken").tolist() == [0]
+
+
+def test_long_runs_of_blanks(spark):
+    docs = [(i, f"a{blank * n}b <|endoftext|>") for i, (blank, n) in enumerate([(" ", 1_500_000), ("\n", 1_000_000), ("\u00a0 \t", 400_000), (" ", 99_999), (" ", 100_000)])]
+    check(pack(spark.createDataFrame(docs, "doc_id long, text string"), with_ids=False).collect(), docs, SIZE)
