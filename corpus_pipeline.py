@@ -1,7 +1,7 @@
 """A corpus run: five stages, each over all that the one before kept.
 
 Quality, near-duplicates and decontamination remove documents; personal data is replaced by its kind in brackets;
-packing returns where each piece goes. Stages remove by an anti-join with the ids that they reject, so documents
+packing returns where each piece goes, with its token ids. Stages remove by an anti-join with the ids that they reject, so documents
 without an id stay.
 """
 
@@ -44,7 +44,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, with_ids=False)
+    return packing.pack(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -60,4 +60,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = table(spark, sf_dir, "documents"), scratch(spark)
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), folder, name)
-    return docs
+    return docs.drop("ids")

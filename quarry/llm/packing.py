@@ -58,18 +58,19 @@ def token_ids(text: str | None, vocabulary: str) -> np.ndarray:
 
 
 def _cut(vocabulary: str, size: int, with_ids: bool):
-    """Pieces of at most `size` ids; only the first of a document may be shorter."""
+    """Pieces of at most `size` ids; only the first of a document may be shorter. Ids below 2^16 are held in two bytes each until `_wide`."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 ids = token_ids(text.as_py(), vocabulary)
+                narrow = ids.astype("<u2") if ids.max() < 1 << 16 else ids
                 ends = range(len(ids) % size or size, len(ids) + 1, size)
                 for piece, end in enumerate(ends):
                     start = 0 if piece == 0 else end - size
                     raw = ids[start:end].tobytes()
-                    for k, v in zip(rows, (doc_id, piece, start, end - start, zlib.crc32(raw), raw), strict=True):
+                    for k, v in zip(rows, (doc_id, piece, start, end - start, zlib.crc32(raw), narrow[start:end].tobytes()), strict=True):
                         rows[k].append(v)
             kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "ids": pa.binary()}
             yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in rows.items() if with_ids or k != "ids"})
@@ -77,6 +78,11 @@ def _cut(vocabulary: str, size: int, with_ids: bool):
     return emit
 
 
+def _wide(raw: bytes, length: int) -> bytes:
+    """`length` ids of two or four bytes each, as 32-bit."""
+    return raw if len(raw) == 4 * length else np.frombuffer(raw, "<u2").astype("<u4").tobytes()
+
+
 def patterns(histogram: dict[int, int], size: int) -> list[tuple[int, ...]]:
     """Multisets of two to four lengths that fill a sequence or leave the least room, from the commonest lengths."""
     lengths = np.array(sorted(histogram), dtype=int)
@@ -209,6 +215,8 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", size: int =
             rank = batch.column("rank").to_numpy()
             at = np.searchsorted(first, (batch.column("length").to_numpy() << 40) + rank, "right") - 1
             out = {name: batch.column(name) for name in names}
+            if with_ids:
+                out["ids"] = pa.array(map(_wide, batch.column("ids").to_pylist(), batch.column("length").to_pylist()), pa.binary())
             yield pa.RecordBatch.from_pydict(out | {"sequence_id": pa.array(rows[at, 3] + rank - rows[at, 1]), "offset": pa.array(rows[at, 4])})
 
     names = [c.split()[0] for c in columns.split(", ")]

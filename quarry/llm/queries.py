@@ -45,7 +45,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), with_ids=False)
+    return pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
 @_query("op2_lm_score")

@@ -96,3 +96,16 @@ def test_ids_end_with_zero():
 def test_long_runs_of_blanks(spark):
     docs = [(i, f"a{blank * n}b <|endoftext|>") for i, (blank, n) in enumerate([(" ", 1_500_000), ("\n", 1_000_000), ("\u00a0 \t", 400_000), (" ", 99_999), (" ", 100_000)])]
     check(pack(spark.createDataFrame(docs, "doc_id long, text string"), with_ids=False).collect(), docs, SIZE)
+
+
+def test_ids_of_any_width_come_back(monkeypatch):
+    import pyarrow as pa
+
+    from quarry.llm import packing
+
+    docs = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2], pa.int64()), "text": pa.array(["a", "b"])})
+    for ids in ([5, 65535, 0], [5, 65536, 0]):
+        monkeypatch.setattr(packing, "token_ids", lambda text, vocabulary, ids=ids: np.array(ids, "<u4"))
+        for row in next(packing._cut("any", 2, True)(iter([docs]))).to_pylist():
+            raw = packing._wide(row["ids"], row["length"])
+            assert np.frombuffer(raw, "<u4").tolist() == ids[row["start"] : row["start"] + row["length"]] and zlib.crc32(raw) == row["ids_crc32"]

@@ -61,3 +61,21 @@ def test_stages_against_brute_force(spark):
 def test_run(spark):
     assert P.run(spark, SF).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert re.fullmatch("[a-z_]+", P.STAGES[0][0])
+
+
+def test_sequences_can_be_built_from_the_last_stage(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, None), (3, "x " * 5000)], "doc_id long, text string")
+    texts, pieces = {r.doc_id: r.text for r in docs.collect()}, defaultdict(list)
+    for r in P.STAGES[-1][1](spark, docs, SF).collect():
+        pieces[r.doc_id].append((r.start, np.frombuffer(r.ids, "<u4")))
+    assert set(pieces) == set(texts)
+    for d, own in pieces.items():
+        assert np.array_equal(np.concatenate([ids for _, ids in sorted(own, key=lambda x: x[0])]), token_ids(texts[d], "byte_bpe_50k.tiktoken"))
+
+
+def test_the_query_moves_its_ids(spark, monkeypatch):
+    from quarry.llm import packing, queries
+
+    asked, plain = [], packing.pack
+    monkeypatch.setattr(packing, "pack", lambda docs, **more: (asked.append(more), plain(docs, **more))[1])
+    assert "ids" not in queries.QUERIES["op8_packing"](spark, SF).columns and asked == [{}]
