@@ -6,13 +6,14 @@ squares fits how often to repeat each so that the histogram is met; counts are r
 packed by best fit, longest first. The plan says, for each length, which ranks go to which sequences; each
 piece finds its place by its length and its rank within that length.
 
-Null and empty texts hold only the end token. Repeated rows are packed each. Rows without doc_id are packed
+Ids are those of `tokenizers` for the JSON form of the vocabulary, by its default settings: the marker of its end
+token in a text is that token. Null and empty texts hold only the end token. Repeated rows are packed each. Rows without doc_id are packed
 too, with a null doc_id.
 """
 
 from __future__ import annotations
 
-import base64
+import json
 import re
 import zlib
 from collections import defaultdict
@@ -27,33 +28,47 @@ from pyspark.sql import functions as F
 
 from quarry.llm.shared import scratch, written
 
-SIZE, END, ROWS_PER_BUCKET = 2048, 0, 100_000
+VOCABULARY, SIZE, END, ROWS_PER_BUCKET = "byte_bpe_50k.json", 2048, 0, 100_000
 LONG = 100_000
-"""Runs of blanks from this length are cut out before the pattern sees them: its stack overflows at a million."""
-BLANK_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+"""Runs of blanks from this length go through the JSON form's own library: the other one's stack overflows at a million."""
+BLANK_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d}" % LONG)
+
+
+def _letters() -> dict[str, int]:
+    """Byte-level vocabularies print a byte as a visible character: itself, or the next free one from 256."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+@cache
+def _plain(name: str):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 @cache
 def _encoding(name: str):
-    """The tokenizer's ranks with its split pattern: the same ids as its JSON form, several times faster."""
+    """The vocabulary and added tokens of a JSON form for the faster encoder: the same ids for any text."""
     import public_tokenizers
     import tiktoken
 
-    with open(public_tokenizers.path(name)) as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(str.split, lines)}
-    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
-def token_ids(text: str | None, vocabulary: str) -> np.ndarray:
-    """All ids of a text, the end token last. Markers of the tokenizer in a text are text."""
-    encoding, ids, at, text = _encoding(vocabulary), [], 0, text or ""
-    for run in BLANK_RUN.finditer(text) if len(text) >= LONG else ():
-        if run.end() - run.start() >= LONG:
-            # as the pattern does: all blanks are one piece, but the last before a word is left to it
-            end = run.end() - (run.end() < len(text))
-            ids += encoding.encode_ordinary(text[at : run.start()]) + encoding._encode_single_piece(text[run.start() : end])
-            at = end
-    ids += encoding.encode_ordinary(text[at:])
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        form = json.load(f)
+    byte, added = _letters(), {t["content"]: t["id"] for t in form["added_tokens"]}
+    ranks = {bytes(byte[c] for c in token): rank for token, rank in form["model"]["vocab"].items() if token not in added}
+    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+
+
+def token_ids(text: str | None, vocabulary: str = VOCABULARY) -> np.ndarray:
+    """The ids that `tokenizers` gives a text with add_special_tokens=False, then the end token. Null is empty."""
+    text = text or ""
+    if len(text) >= LONG and BLANK_RUN.search(text):
+        ids = _plain(vocabulary).encode(text, add_special_tokens=False).ids
+    else:
+        ids = _encoding(vocabulary).encode(text, allowed_special="all")
     return np.array([*ids, END], dtype="<u4")
 
 
@@ -191,19 +206,19 @@ def places(packed: dict[tuple[int, ...], int]) -> list[tuple[int, int, int, int,
     return rows
 
 
-def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", size: int = SIZE, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = SIZE, with_ids: bool = True) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset and, with_ids, ids (little-endian 32-bit)."""
     spark, folder = docs.sparkSession, scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     columns = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    pieces = written(docs.mapInArrow(_cut(vocabulary, size, with_ids), columns), folder, "pieces")
+    pieces = written(docs.mapInArrow(_cut(vocabulary, size, with_ids), columns).withColumn("row", F.monotonically_increasing_id()), folder, "pieces")
     lengths = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     # ranks within a length: counted by bucket, so that no length meets in one task
     buckets = max(64, sum(lengths.values()) // ROWS_PER_BUCKET)
-    bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
     before = W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     counts = bucketed.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("below"))
-    inside = W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
+    inside = W.partitionBy("length", "bucket").orderBy("row")
     ranked = bucketed.withColumn("rank", F.row_number().over(inside).cast("long") - 1).join(counts, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("below"))
     found = sorted(places(plan(lengths, size)))
     held = spark.sparkContext.broadcast(np.array(found, np.int64).reshape(len(found), 5))

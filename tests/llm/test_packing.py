@@ -16,7 +16,6 @@ def check(rows, docs, size):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     sequences, pieces = defaultdict(list), defaultdict(list)
     for r in rows:
         sequences[r.sequence_id].append((r.offset, r.length))
@@ -90,7 +89,21 @@ def test_repeats_carry_large_inputs():
 
 
 def test_ids_end_with_zero():
-    assert token_ids(None, "byte_bpe_50k.tiktoken").tolist() == [0]
+    assert token_ids(None).tolist() == [0]
+
+
+def test_ids_of_all_characters():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    cases = [f"a{chr(c)}1{chr(c)}.{chr(c)} {chr(c)}a  {chr(c)}'m" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    cases += ["x  <|endoftext|>  y", "<|endoftext|><|endoftext|>", "<|<|endoftext|>|>", "<|endoftext|", "\n\n<|endoftext|>\n z", "'S 'll''ve I'D"]
+    for k in range(0, len(cases), 100_000):
+        some = cases[k : k + 100_000]
+        for text, want in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+            assert token_ids(text)[:-1].tolist() == want.ids, ascii(text)
+    assert token_ids("a <|endoftext|> b").tolist() == [64, 220, 50256, 275, 0]
 
 
 def test_long_runs_of_blanks(spark):
