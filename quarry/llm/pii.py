@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.shared import scratch, written
-from quarry.llm.spans import clear_of, labelled, matches, printed, sha256
+from quarry.llm.spans import clear_of, labelled, matches, printed, replaced, sha256
 
 EMAIL = "(?:(?<![A-Za-z0-9._%+-])|\\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++"
 IP = "(?:(?<![0-9])|\\G)[0-9]++(?:\\.[0-9]++)(?:\\.[0-9]++)(?:\\.[0-9]++)"
@@ -59,15 +59,19 @@ def _octets(value: Column) -> Column:
     return F.forall(F.split(value, "\\."), fits)
 
 
+def _found(text: Column, pattern: str, guard: Column) -> Column:
+    return matches(text, pattern, guard=guard, before=CONTEXT)
+
+
 def base_spans(text: Column) -> dict[str, Column]:
     """The fixed patterns after their checks; under number, digit runs of a card's length that fail the check digit."""
     digit = text.rlike("[0-9]")
-    runs = F.filter(matches(text, CARD, guard=digit & text.rlike("[0-9](?:[\\x20-]?[0-9]){13}")), lambda s: F.length(_digits(s["value"])).between(14, 19))
+    runs = F.filter(_found(text, CARD, digit & text.rlike("[0-9](?:[\\x20-]?[0-9]){13}")), lambda s: F.length(_digits(s["value"])).between(14, 19))
     return {
-        "email": matches(text, EMAIL, guard=F.contains(text, F.lit("@"))),
-        "ip": F.filter(matches(text, IP, guard=digit & text.rlike("[0-9]\\.[0-9]")), lambda s: _octets(s["value"])),
+        "email": _found(text, EMAIL, F.contains(text, F.lit("@"))),
+        "ip": F.filter(_found(text, IP, digit & text.rlike("[0-9]\\.[0-9]")), lambda s: _octets(s["value"])),
         "card": F.filter(runs, lambda s: luhn(_digits(s["value"]))),
-        "phone": F.filter(matches(text, PHONE, guard=digit & F.contains(text, F.lit("+"))), lambda s: F.length(_digits(s["value"])).between(10, 15)),
+        "phone": F.filter(_found(text, PHONE, digit & F.contains(text, F.lit("+"))), lambda s: F.length(_digits(s["value"])).between(10, 15)),
         "number": F.filter(runs, lambda s: ~luhn(_digits(s["value"]))),
     }
 
@@ -160,13 +164,13 @@ def find(docs: DataFrame, threshold: float = THRESHOLD, keep: tuple[str, ...] =
     spans = base_spans(text)
     for kind, pattern in LOOSE.items():
         guard = text.rlike("[\\[(]at[\\])]") if kind == "spelled_email" else text.rlike("[0-9]{3}" if kind != "iban" else "[A-Z]{2}[0-9]{2}[A-Z0-9]{11}")
-        spans[kind] = matches(text, pattern, guard=guard)
+        spans[kind] = _found(text, pattern, guard)
     held = docs.select("kept", "doc_id", "text", *(c.alias(k) for k, c in spans.items()))
     base = F.concat(*(labelled(F.col(k), k, i) for i, k in enumerate(BASE)))
 
     def seen(kind: str) -> Column:
-        """The spans with their value and what stands before."""
-        return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value"), F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT))).alias("before")))
+        """The spans with their kind, value and what stands before."""
+        return F.transform(kind, lambda s: F.struct(*(s[c].alias(c) for c in ("start", "end")), F.lit(kind).alias("kind"), *(s[c].alias(c) for c in ("value", "before"))))
 
     held = held.withColumn("candidates", F.concat(*map(seen, KINDS)))
     out = ["doc_id", "kept", base.alias("base"), *(F.size(k).cast("long").alias(f"n_{k}") for k in BASE), "candidates"]
@@ -176,12 +180,11 @@ def find(docs: DataFrame, threshold: float = THRESHOLD, keep: tuple[str, ...] =
     rows = [(r.kind, tuple(r[k] for k in LABELERS), r["count"]) for r in voted.groupBy("kind", *LABELERS).count().orderBy("kind", *LABELERS).collect()]
     weights = classifier(rows) if rows else {}
 
-    def added(c: Column) -> Column:
-        loose = ~c["kind"].isin(*BASE) & clear_of(c, F.col("base"))
-        return loose & (probability(weights, c["kind"], votes(c["kind"], c["value"], c["before"])) > threshold)
+    def likely(c: Column) -> Column:
+        return ~c["kind"].isin(*BASE) & (probability(weights, c["kind"], votes(c["kind"], c["value"], c["before"])) > threshold)
 
     rank = lambda c: F.array_position(F.array(*map(F.lit, KINDS)), c["kind"]).cast("int") - 1
-    more = F.transform(F.filter("candidates", added), lambda c: F.struct(c["start"].alias("start"), rank(c).alias("rank"), c["end"].alias("end"), c["kind"].alias("kind")))
+    more = F.transform(clear_of(F.filter("candidates", likely), F.col("base")), lambda c: F.struct(c["start"].alias("start"), rank(c).alias("rank"), c["end"].alias("end"), c["kind"].alias("kind")))
     held = held.withColumn("all", F.array_sort(F.concat("base", more)))
     return held.select(
         "doc_id", *(f"n_{k}" for k in BASE), sha256(printed(F.col("base"))).alias("base_sha256"), printed(F.col("all")).alias("spans"),
@@ -192,12 +195,4 @@ def find(docs: DataFrame, threshold: float = THRESHOLD, keep: tuple[str, ...] =
 
 def redacted(text: Column, found: Column) -> Column:
     """The text with each span (overlapping ones as one) replaced by its kind in brackets."""
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        cut = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(gap, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("out"))
-        return F.when(s["start"] < acc["at"], F.struct(F.greatest(s["end"], acc["at"]).alias("at"), acc["out"].alias("out"))).otherwise(cut)
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    whole = F.aggregate(found, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(found) > 0, whole).otherwise(text)
+    return replaced(text, found)

@@ -81,3 +81,34 @@ def test_redacted(spark):
     df = spark.createDataFrame([(1, "é a@b.co, 1.2.3.4!"), (2, None), (3, "clean")], "doc_id long, text string")
     out = find(df, keep=("text",)).select("doc_id", redacted(F.col("text"), F.col("found")).alias("t"))
     assert {r.doc_id: r.t for r in out.collect()} == {1: "é [EMAIL], [IP]!", 2: None, 3: "clean"}
+
+
+def test_many_matches_in_one_text(spark):
+    import time
+
+    text = " ".join(f"call 603-555-{i % 10000:04} or a{i}@b.com" for i in range(100_000))
+    began = time.perf_counter()
+    df = spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")
+    rows = find(df, keep=("text",)).select("*", redacted(F.col("text"), F.col("found")).alias("t")).collect()
+    assert [r.n_email for r in rows] == [100_000] * 2 and rows[0].base_sha256 == hashlib.sha256(",".join(brute(text)).encode()).hexdigest()
+    assert rows[0].t == " ".join(["call [LOCAL_PHONE] or [EMAIL]"] * 100_000) and rows[0] == rows[1]
+    assert time.perf_counter() - began < 180
+
+
+def test_precision_and_recall_of_loose_spans(spark):
+    r = random.Random(11)
+    n = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    true = (
+        lambda: ("please call ", f"{r.randint(200, 999)}-{r.randint(200, 999)}-{n(4)}"), lambda: ("reach me by phone ", f"({r.randint(200, 999)}) {r.randint(200, 999)}-{n(4)}"), lambda: ("social security ", f"{n(3)}-{n(2)}-{n(4)}"),
+        lambda: ("write to ", f"jo{n(2)} [at] mail{n(1)} [dot] {r.choice(['com', 'org', 'de'])}"), lambda: ("account ", f"DE{n(20)}"), lambda: ("contact ", f"al.{n(2)}(at)site.net"),
+    )
+    false = (
+        lambda: ("part no. ", f"{r.randint(200, 999)}-{r.randint(200, 999)}-{n(4)}"), lambda: ("version ", f"{n(3)}-{n(2)}-{n(4)}"), lambda: ("order ", "4" + n(15)), lambda: ("serial ", f"{r.randint(200, 999)}.{r.randint(200, 999)}.{n(4)}"), lambda: ("model ", f"XK{n(16)}"), lambda: ("ticket ", f"{n(3)}-{n(2)}-{n(4)}"),
+    )
+    docs = [(i, "mail someone@site.org or ", *r.choice(true if i % 2 else false)()) for i in range(600)]
+    rows = {x.doc_id: x.spans.split(",") for x in find(spark.createDataFrame([(i, a + b + c + " today") for i, a, b, c in docs], "doc_id long, text string")).collect()}
+    found = {i: [x for x in rows[i] if x.split(":")[0] not in BASE] for i, *_ in docs}
+    right = sum(any(x.endswith(f":{len(a + b)}:{len(a + b + c)}") for x in found[i]) for i, a, b, c in docs if i % 2)
+    added = sum(map(len, found.values()))
+    print("recall", right / 300, "precision", right / max(added, 1))
+    assert right >= 0.9 * 300 and right >= 0.9 * added
