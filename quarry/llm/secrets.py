@@ -1,10 +1,11 @@
 """Secrets: fixed patterns, and random-looking tokens told from identifiers by two character Markov models.
 
-The models count which character follows which in random strings (the values that the patterns found) and in
-ordinary identifiers (letter-only words of SAMPLE_DOCS documents of smallest hash, a bounded sample). A token
-is a secret if its mean log-likelihood ratio a character reaches THRESHOLD. A pair
-that is rare after its first character backs off to the character alone. Without training samples the ratio is
-zero and nothing is added.
+The models count which character follows which in labelled samples. Random strings are what the patterns found and
+generated keys (mixed case with digits, base64, prefixed). Ordinary identifiers are the distinct letter-only words
+of all documents, and generated names of code, slugs, dates, versions, numbers and paths; generated ones count at
+least half, so that what prose never has is still ordinary. A token is a secret if its log-likelihood ratio reaches THRESHOLD:
+the rarer secrets are among tokens, the more its characters must say. Tokens in the form of a UUID are identifiers.
+A pair that is rare after its first character backs off to the character alone.
 
 Null and empty texts have no spans. Repeated rows and rows without doc_id get their own result each.
 """
@@ -12,7 +13,9 @@ Null and empty texts have no spans. Repeated rows and rows without doc_id get th
 from __future__ import annotations
 
 import math
+import random
 import string
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,12 +28,15 @@ _NAMES = "|".join([*map(_ANY_CASE, ("password", "passwd", "secret", "token")), f
 ASSIGN = f"({_NAMES})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]{12,}"
 HEX = "(?<![0-9a-f])[0-9a-f]{32,}"
-TOKEN = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+TOKEN = "(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{11,}[A-Za-z0-9+/=]"
 IDENTIFIER = "(?<![A-Za-z_])[A-Za-z_]{8,}"
+UUID = "^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$"
 KINDS = ("assign", "access", "hex", "random")
 ALPHABET = string.ascii_letters + string.digits + "+/_.=-"
 STATES = len(ALPHABET) + 1
-SAMPLE_DOCS, THRESHOLD, SMOOTHING, BACKOFF = 2000, 1.0, 0.5, 10.0
+GENERATED, THRESHOLD, SMOOTHING, BACKOFF = 6000, math.log(1e5), 0.5, 10.0
+"""GENERATED strings of each label; THRESHOLD holds that one token in 100 000 is a secret."""
+_PARTS = "user name config value index file path read write list map item count total first last page report order data test build release notes final draft version date time month year image photo main common util service client server request response error message event handler state query table column field key token group member address street city country number sample model train score result output input".split()
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -56,45 +62,82 @@ def _pairs(values: DataFrame) -> DataFrame:
 
 
 class MarkovRatio:
-    """Log-likelihood ratios of pairs of characters: random strings against identifiers."""
-
-    def __init__(self, random: dict[int, int], ordinary: dict[int, int]) -> None:
-        rows = []
-        for counts in (random, ordinary):
-            after, alone = [0] * STATES, [SMOOTHING] * STATES
-            for code, n in counts.items():
-                after[code // STATES] += n
-                alone[code % STATES] += n
-            share = [n / sum(alone) for n in alone]
-            rows.append([math.log((counts.get(k, 0) + BACKOFF * share[k % STATES]) / (after[k // STATES] + BACKOFF)) for k in range(STATES * STATES)])
-        self.ratios = [round(a - b, 4) for a, b in zip(*rows, strict=True)] if random and ordinary else [0.0] * STATES**2
-
-    def mean(self, value: Column) -> Column:
+    """Log-likelihood ratios of pairs of characters: random strings against identifiers. Each side mixes the counts of its own sample, at most by half, with generated ones."""
+
+    def __init__(self, random: tuple[dict[int, int], dict[int, int]], ordinary: tuple[dict[int, int], dict[int, int]]) -> None:
+        logs = []
+        for own, made in (random, ordinary):
+            n, m = sum(own.values()), sum(made.values())
+            weight = min(0.5, n / (n + m))
+            logs.append([math.log(weight * a + (1 - weight) * b) for a, b in zip(self._shares(own), self._shares(made), strict=True)])
+        self.ratios = [round(a - b, 4) for a, b in zip(*logs, strict=True)]
+
+    @staticmethod
+    def _shares(counts: dict[int, int]) -> list[float]:
+        after, alone = [0] * STATES, [SMOOTHING] * STATES
+        for code, n in counts.items():
+            after[code // STATES] += n
+            alone[code % STATES] += n
+        share = [n / sum(alone) for n in alone]
+        return [(counts.get(k, 0) + BACKOFF * share[k % STATES]) / (after[k // STATES] + BACKOFF) for k in range(STATES * STATES)]
+
+    def ratio(self, value: Column) -> Column:
         states, table = _states(value), F.lit(self.ratios)
         step = lambda acc, s: F.struct(s.alias("last"), (acc["sum"] + F.get(table, acc["last"] * STATES + s)).alias("sum"))
-        return F.aggregate(states, F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("sum")), step, lambda acc: acc["sum"]) / F.greatest(F.length(value), F.lit(1))
+        return F.aggregate(states, F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("sum")), step, lambda acc: acc["sum"])
+
+
+def labelled_samples(n: int = GENERATED, seed: int = 3) -> tuple[list[str], list[str]]:
+    """Generated (random, ordinary) strings, the same for the same seed."""
+    r = random.Random(seed)
+    word, digits = (lambda: r.choice(_PARTS)), (lambda a, b: "".join(r.choice(string.digits) for _ in range(r.randint(a, b))))
+    key = lambda letters, a, b: "".join(r.choice(letters) for _ in range(r.randint(a, b)))
+    plain = string.ascii_letters + string.digits
+    keys = (
+        lambda: key(plain, 16, 48), lambda: key(plain + "+/", 20, 64) + r.choice(["", "=", "=="]), lambda: key(plain + "_-", 20, 48),
+        lambda: f"{r.choice(['sk', 'pk', 'ghp', 'xox', 'key'])}_{r.choice(['live_', 'test_', ''])}{key(plain, 16, 40)}", lambda: key(string.ascii_lowercase + string.digits, 16, 40),
+    )
+    date = lambda: f"{r.randint(1970, 2035)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}"
+    names = (
+        lambda: "_".join(word() for _ in range(r.randint(2, 5))), lambda: "-".join(word() for _ in range(r.randint(2, 6))), lambda: "".join(word().title() for _ in range(r.randint(2, 5))),
+        lambda: word() + "".join(word().title() for _ in range(r.randint(1, 4))), lambda: "_".join(word() for _ in range(r.randint(2, 4))).upper(), lambda: f"{word()}_{word()}{digits(1, 4)}",
+        lambda: f"{date()}-{'-'.join(word() for _ in range(r.randint(1, 4)))}", lambda: f"{date()}T{r.randint(0, 23):02}", lambda: f"{word()}-{word()}-v{digits(1, 2)}.{digits(1, 2)}.{digits(1, 2)}",
+        lambda: "/".join(word() for _ in range(r.randint(2, 6))) + r.choice(["", ".py", ".txt", ".html", ".json"]), lambda: digits(6, 20), lambda: f"{digits(2, 4)}-{digits(3, 4)}-{digits(3, 6)}",
+        lambda: f"{word()}{digits(2, 8)}.{r.choice(['jpg', 'png', 'csv'])}", lambda: ".".join(word() for _ in range(r.randint(2, 5))), lambda: f"{digits(1, 3)}.{digits(1, 3)}.{digits(1, 3)}.{digits(1, 3)}",
+        lambda: f"{word()}={digits(1, 6)}", lambda: f"{word().upper()}-{digits(3, 8)}", lambda: f"www.{word()}{word()}.{r.choice(['com', 'org', 'net'])}", lambda: f"{'-' * r.randint(4, 20)}{word()}", lambda: "=" * r.randint(8, 30),
+    )
+    return [r.choice(keys)() for _ in range(n)], [r.choice(names)() for _ in range(n)]
+
+
+def code_counts(values: list[str]) -> dict[int, int]:
+    """The counts that `_pairs` makes, of strings on the driver."""
+    at, out = {c: i + 1 for i, c in enumerate(ALPHABET)}, Counter()
+    for v in values:
+        states = [0, *(at.get(c, 0) for c in v)]
+        out.update(a * STATES + b for a, b in zip(states[:-1], states[1:], strict=True))
+    return dict(out)
 
 
-def train(random: DataFrame, ordinary: DataFrame) -> MarkovRatio:
+def train(drawn: DataFrame, ordinary: DataFrame, generated: int = GENERATED) -> MarkovRatio:
     """From labelled samples, each a column `value`; at most STATES squared counts of either come to the driver."""
-    return MarkovRatio(*({r["code"]: r["count"] for r in _pairs(x).collect()} for x in (random, ordinary)))
+    own = [{r["code"]: r["count"] for r in _pairs(x).collect()} for x in (drawn, ordinary)]
+    return MarkovRatio(*((x, code_counts(y)) for x, y in zip(own, labelled_samples(generated), strict=True)))
 
 
-def find(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, threshold: float = THRESHOLD) -> DataFrame:
+def find(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, found (the spans as an array)."""
     spark, folder = docs.sparkSession, scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     text = F.col("text")
-    tokens = F.filter(matches(text, TOKEN, guard=text.rlike("[0-9]")), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
+    tokens = F.filter(matches(text, TOKEN, guard=text.rlike(TOKEN)), lambda s: ~s["value"].rlike(UUID) & ~s["value"].rlike("^[0-9.=_-]+$"))
     held = written(docs.select("doc_id", *(c.alias(k) for k, c in base_spans(text).items()), tokens.alias("random")), folder, "spans")
     value = lambda k: F.transform(k, lambda s: F.coalesce(s["part"], s["value"]))
-    random = held.select(F.explode(F.concat(*(value(k) for k in KINDS[:3]))).alias("value"))
-    few = docs.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
-    ordinary = docs.join(F.broadcast(few), "doc_id", "left_semi").select(F.explode(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))).alias("value"))
-    model = train(random, ordinary)
+    drawn = held.select(F.explode(F.concat(*(value(k) for k in KINDS[:3]))).alias("value"))
+    ordinary = docs.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0)))).alias("value")).distinct()
+    model = train(drawn, ordinary)
     base = F.concat(*(labelled(F.col(k), k, i) for i, k in enumerate(KINDS[:3])))
     held = held.withColumn("base", base)
-    added = F.filter("random", lambda s: clear_of(s, F.col("base")) & (model.mean(s["value"]) >= threshold))
+    added = clear_of(F.filter("random", lambda s: model.ratio(s["value"]) >= threshold), F.col("base"))
     out = held.withColumn("found", F.array_sort(F.concat("base", labelled(added, KINDS[3], 3))))
     return out.select(
         "doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]), sha256(printed(F.col("base"))).alias("base_sha256"),
