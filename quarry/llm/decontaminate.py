@@ -1,13 +1,15 @@
 """Benchmark decontamination with a positional inverted index of the training texts.
 
-Test items are cut into windows. Training occurrences of test terms are counted; each window is looked up by its
-two rarest terms, and postings (term, document, position) of exactly those terms make the index, a table. Lists
-are shifted by the terms' offsets and intersected; what both terms agree on is compared with the hash of the
-whole window. Proximity queries use the same index with a slop.
-
-The test side is small: its windows are broadcast while they are at most SMALL rows and joined otherwise.
-Null and empty texts have no words. Items without words are ignored. Repeated rows get the same result each.
-Rows without doc_id are returned without hits.
+Training texts are split into words once, into a table of rows with their words. Test items are cut into windows.
+Occurrences of test terms are counted over all texts; each window is looked up by its two rarest terms, and postings
+(term, row, position) of exactly those terms make the index, a table. Lists are shifted by the terms' offsets and
+intersected; what both terms agree on is compared with the hash of the whole window. Proximity queries use the
+same kind of index with a slop.
+
+No join is hinted: the planner broadcasts the test side by its size in bytes and shuffles both sides beyond that.
+Rows are told apart by a number that they get when they are written, so rows without doc_id and repeated ids with
+different texts are checked each by its own text. Null and empty texts have no words. Items without words are
+ignored. Repeated rows get the same result each.
 """
 
 from __future__ import annotations
@@ -19,87 +21,80 @@ from pyspark.sql import functions as F
 from quarry.llm.shared import NOT_ALNUM, lower_ascii, scratch, split_words, written
 from quarry.llm.spans import sha256
 
-WINDOW, RARE, SMALL = 10, 2, 200_000
+WINDOW, RARE = 10, 2
 
 
 def alnum_words(text: Column) -> Column:
     return split_words(lower_ascii(text), NOT_ALNUM)
 
 
+def split_rows(docs: DataFrame, folder: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(row, doc_id, words, keep...) of all texts as a table: each text is split once, its row number is fixed."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), alnum_words(F.col("text").cast("string")).alias("words"), *keep)
+    return written(rows, folder, "words")
+
+
 def item_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     """(item_id, window, terms): all windows of an item; one of fewer words is one window. window: a hash of the terms."""
-    words = items.select(F.col("item_id").cast("string").alias("item_id"), alnum_words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    words = items.select(F.col("item_id").cast("string").alias("item_id"), alnum_words(F.col("text").cast("string")).alias("w")).filter(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
     cut = words.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("terms")).distinct()
     return cut.withColumn("window", F.xxhash64("terms", F.size("terms")))
 
 
-def _hint(df: DataFrame, small: bool) -> DataFrame:
-    return F.broadcast(df) if small else df
-
-
-def term_counts(docs: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
+def term_counts(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, n): occurrences of each test term in all training texts."""
-    tokens = docs.select(F.explode("words").alias("term"))
-    return tokens.join(_hint(terms, small), "term").groupBy("term").agg(F.count("*").alias("n"))
+    tokens = rows.select(F.explode("words").alias("term"))
+    return tokens.join(terms, "term").groupBy("term").agg(F.count("*").alias("n"))
 
 
-def postings(docs: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
-    """The index: (term, doc_id, pos) for the occurrences of `terms`, pos from 0."""
-    tokens = docs.select("doc_id", F.posexplode("words").alias("pos", "term"))
-    return tokens.join(_hint(terms, small), "term").select("term", "doc_id", "pos")
+def postings(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """The index: (term, row, pos) for the occurrences of `terms`, pos from 0."""
+    tokens = rows.select("row", F.posexplode("words").alias("pos", "term"))
+    return tokens.join(terms, "term").select("term", "row", "pos")
 
 
-def rarest(windows: DataFrame, counts: DataFrame, small: bool, keep: int = RARE) -> DataFrame:
+def rarest(windows: DataFrame, counts: DataFrame, keep: int = RARE) -> DataFrame:
     """(window, term, shift, n_terms): the `keep` rarest terms of each window and where they stand in it."""
     each = windows.select("window", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("shift", "term")).distinct()
     order = W.partitionBy("window").orderBy(F.coalesce("n", F.lit(0)), "term", "shift")
-    ranked = each.join(_hint(counts, small), "term", "left").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep)
+    ranked = each.join(counts, "term", "left").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep)
     all_bits = F.expr(f"shiftleft(1, least(n_terms, {keep})) - 1")
     return ranked.select("window", "term", "shift", F.expr("shiftleft(1, rank - 1)").alias("bit"), all_bits.alias("needed"), "n_terms")
 
 
-def phrase_starts(index: DataFrame, wanted: DataFrame, small: bool) -> DataFrame:
-    """(doc_id, window, start, n_terms) where all the wanted terms of a window stand at their places."""
-    shifted = index.join(_hint(wanted, small), "term").select("doc_id", "window", (F.col("pos") - F.col("shift")).alias("start"), "bit", "needed", "n_terms")
-    agreed = shifted.filter("start >= 0").groupBy("doc_id", "window", "start", "needed", "n_terms").agg(F.bit_or("bit").alias("bits"))
-    return agreed.filter("bits = needed").select("doc_id", "window", "start", "n_terms")
+def phrase_starts(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(row, window, start, n_terms) where all the wanted terms of a window stand at their places."""
+    shifted = index.join(wanted, "term").select("row", "window", (F.col("pos") - F.col("shift")).alias("start"), "bit", "needed", "n_terms")
+    agreed = shifted.filter("start >= 0").groupBy("row", "window", "start", "needed", "n_terms").agg(F.bit_or("bit").alias("bits"))
+    return agreed.filter("bits = needed").select("row", "window", "start", "n_terms")
 
 
 def near_matches(index: DataFrame, query: DataFrame, slop: int) -> DataFrame:
-    """(doc_id, query, start, end): spans of at most `slop` more positions than terms that hold all terms of a query.
+    """(row, query, start, end): spans of at most `slop` more positions than terms that hold all terms of a query.
 
-    query: (query, term) rows, terms distinct. A span begins at an occurrence of one of its terms.
+    query: (query, term) rows, terms distinct. A span begins at an occurrence of one of its terms. Positions meet
+    by strips as long as a span, so a text is not compared with itself as a whole.
     """
     size = query.groupBy("query").agg(F.count("*").alias("terms"))
-    found = index.join(query, "term").join(size, "query")
-    reach = found.withColumn("to", F.col("pos") + F.col("terms") - 1 + slop)
-    other = found.select("doc_id", "query", F.col("pos").alias("p2"), F.col("term").alias("t2"))
-    joined = reach.join(other, ["doc_id", "query"]).filter("p2 >= pos and p2 <= to")
-    firsts = joined.groupBy("doc_id", "query", "pos", "terms", "t2").agg(F.min("p2").alias("p2"))
-    return firsts.groupBy("doc_id", "query", "pos", "terms").agg(F.count("*").alias("n"), F.max("p2").alias("end")).filter("n = terms").select("doc_id", "query", F.col("pos").alias("start"), "end")
-
-
-def match(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(doc_id, hits, items): per document with a match, its sorted distinct (start, n_terms) and item ids."""
-    spark, folder = docs.sparkSession, scratch(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long"), alnum_words(F.col("text").cast("string")).alias("words")).filter("doc_id is not null")
-    windows = written(item_windows(items, size), folder, "windows")
-    small = windows.count() <= SMALL
-    terms = windows.select(F.explode("terms").alias("term")).distinct()
-    counts = written(term_counts(docs, terms, small), folder, "counts")
-    wanted = written(rarest(windows, counts, small), folder, "wanted")
-    index = written(postings(docs, wanted.select("term").distinct(), small), folder, "postings")
-    starts = written(phrase_starts(index, wanted, small), folder, "starts")
-    places = starts.groupBy("doc_id").agg(F.collect_set(F.struct("start", "window", "n_terms")).alias("places"))
-    same = lambda p: F.xxhash64(F.slice("words", p["start"] + 1, p["n_terms"]), p["n_terms"]) == p["window"]
-    checked = docs.join(places, "doc_id").select("doc_id", F.filter("places", same).alias("places")).filter(F.size("places") > 0)
-    checked = written(checked.dropDuplicates(["doc_id"]), folder, "checked")
-    owners = windows.select("window", "item_id").groupBy("window").agg(F.collect_set("item_id").alias("owners"))
-    hit = checked.select("doc_id", F.explode(F.array_distinct(F.transform("places", lambda p: p["window"]))).alias("window"))
-    found = hit.join(_hint(owners, small), "window").select("doc_id", F.explode("owners").alias("item_id")).groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    hits = checked.select("doc_id", F.array_sort(F.array_distinct(F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["n_terms"].alias("n_terms"))))).alias("hits"))
-    return hits.join(found, "doc_id")
+    found = index.join(query, "term").join(size, "query").withColumn("width", F.col("terms") + slop)
+    strip = F.floor(F.col("pos") / F.col("width"))
+    reach = found.select("row", "query", "terms", "pos", (F.col("pos") + F.col("width") - 1).alias("to"), F.explode(F.array(strip, strip + 1)).alias("strip"))
+    other = found.select("row", "query", F.col("pos").alias("p2"), F.col("term").alias("t2"), strip.alias("strip"))
+    joined = reach.join(other, ["row", "query", "strip"]).filter("p2 >= pos and p2 <= to")
+    firsts = joined.groupBy("row", "query", "pos", "terms", "t2").agg(F.min("p2").alias("p2"))
+    whole = firsts.groupBy("row", "query", "pos", "terms").agg(F.count("*").alias("n"), F.max("p2").alias("end")).filter("n = terms")
+    return whole.select("row", "query", F.col("pos").alias("start"), "end")
+
+
+def proximity(docs: DataFrame, items: DataFrame, slop: int) -> DataFrame:
+    """(doc_id, item_id, start, end): where all distinct words of an item stand within `slop` more positions than words, in any order."""
+    folder = scratch(docs.sparkSession)
+    rows = split_rows(docs, folder)
+    query = items.select(F.col("item_id").cast("string").alias("query"), F.explode(F.array_distinct(alnum_words(F.col("text").cast("string")))).alias("term")).distinct()
+    query = written(query, folder, "queries")
+    index = written(postings(rows, query.select("term").distinct()), folder, "postings")
+    return near_matches(index, query, slop).join(rows.select("row", "doc_id"), "row").select("doc_id", F.col("query").alias("item_id"), "start", "end")
 
 
 def covered(hits: Column) -> Column:
@@ -112,11 +107,27 @@ def covered(hits: Column) -> Column:
     return F.aggregate(hits, F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), step, lambda acc: acc["n"])
 
 
-def check(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items."""
-    found = match(docs, items, size)
-    words = docs.select(F.col("doc_id").cast("long"), F.size(alnum_words(F.col("text").cast("string"))).cast("long").alias("n_words"))
-    n_hit = F.coalesce(covered(F.col("hits")), F.lit(0)).cast("long")
+def check(docs: DataFrame, items: DataFrame, size: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, hits (sorted start and n_terms) and the columns `keep`."""
+    folder = scratch(docs.sparkSession)
+    kept = F.struct(*keep).alias("kept") if keep else F.lit(None).cast("int").alias("kept")
+    rows = split_rows(docs, folder, (kept,))
+    windows = written(item_windows(items, size), folder, "windows")
+    counts = written(term_counts(rows, windows.select(F.explode("terms").alias("term")).distinct()), folder, "counts")
+    wanted = written(rarest(windows, counts), folder, "wanted")
+    index = written(postings(rows, wanted.select("term").distinct()), folder, "postings")
+    starts = written(phrase_starts(index, wanted), folder, "starts")
+    places = starts.groupBy("row").agg(F.collect_set(F.struct("start", "window", "n_terms")).alias("places"))
+    same = lambda p: F.xxhash64(F.slice("words", p["start"] + 1, p["n_terms"]), p["n_terms"]) == p["window"]
+    found = F.coalesce(F.filter("places", same), F.array().cast("array<struct<start:int,window:bigint,n_terms:int>>"))
+    checked = rows.join(places, "row", "left").select("row", "doc_id", "kept", F.size("words").cast("long").alias("n_words"), found.alias("places"))
+    hits = F.array_sort(F.array_distinct(F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["n_terms"].alias("n_terms")))))
+    checked = checked.select("row", "doc_id", "kept", "n_words", hits.alias("hits"), F.array_distinct(F.transform("places", lambda p: p["window"])).alias("found"))
+    checked = written(checked, folder, "checked")
+    owners = windows.select("window", "item_id").distinct()
+    hit = checked.select("row", F.explode("found").alias("window")).join(owners, "window")
+    owned = hit.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     ids = F.coalesce("items", F.array().cast("array<string>"))
-    out = words.join(found, "doc_id", "left").select("doc_id", "n_words", n_hit.alias("n_hit"), ids.alias("items"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha256(F.array_join("items", ",")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items")
+    out = checked.join(owned, "row", "left").select("doc_id", "kept", "n_words", covered(F.col("hits")).cast("long").alias("n_hit"), ids.alias("items"), "hits")
+    columns = ("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha256(F.array_join("items", ",")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items", "hits")
+    return out.select(*columns, *(f"kept.{c}" for c in keep))

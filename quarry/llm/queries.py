@@ -73,7 +73,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.decontaminate import check
 
-    return check(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+    return check(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "hits")
 
 
 @_query("op6_quality_rules")

@@ -37,12 +37,15 @@ def rows(df):
     return {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in df.collect()}
 
 
-@pytest.mark.parametrize("small", [D.SMALL, 0])
-def test_whole_table(spark, monkeypatch, small):
-    monkeypatch.setattr(D, "SMALL", small)
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_whole_table(spark, threshold):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     docs, items = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text")
     want = brute([tuple(r) for r in docs.collect()], [tuple(r) for r in items.collect()])
-    got = rows(D.check(docs, items))
+    try:
+        got = rows(D.check(docs, items))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == want
     print("contaminated", sum(x[4] for x in got.values()))
 
@@ -57,15 +60,41 @@ def test_small_alphabet(spark):
 
 
 def test_edges(spark):
-    df = spark.createDataFrame([(1, "a b c", 1), (1, "a b c", 2), (None, "a b c", 3)], "doc_id long, text string, items int")
-    test = spark.createDataFrame([(7, "b c")], "item_id long, text string")
-    assert sorted((r.doc_id or 0, r.n_hit) for r in D.check(df, test).collect()) == [(0, 0), (1, 2), (1, 2)]
+    df = spark.createDataFrame([(1, "a b c", 1), (1, "a b c", 2), (None, "a b c", 3), (None, "x", 4), (1, "other text", 5)], "doc_id long, text string, items int")
+    test = spark.createDataFrame([(7, "b c", 0)], "item_id long, text string, row int")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.items) for r in D.check(df, test).collect())
+    assert got == [(0, 1, 0, []), (0, 3, 2, ["7"]), (1, 2, 0, []), (1, 3, 2, ["7"]), (1, 3, 2, ["7"])]
+    assert sorted((r.kept_items, r.n_hit) for r in D.check(df.withColumnRenamed("items", "kept_items"), test, keep=("kept_items",)).collect()) == [(1, 2), (2, 2), (3, 2), (4, 0), (5, 0)]
     assert D.check(df.limit(0), test).count() == 0
     assert {r.n_hit for r in D.check(df, test.limit(0)).collect()} == {0}
 
 
+def test_very_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    docs, items = [(1, long + " one two three"), (2, "the " * 100_000)], [(1, "w7 w8"), (2, "two three"), (3, "the the the")]
+    df, test = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert rows(D.check(df, test)) == brute(docs, items)
+
+
 def test_near_matches(spark):
-    docs = spark.createDataFrame([(1, "a x b y c"), (2, "c a b"), (3, "a x x x x b c")], "doc_id long, text string").select("doc_id", D.alnum_words(D.F.col("text")).alias("words"))
-    query = spark.createDataFrame([("q", t) for t in "abc"], "query string, term string")
-    index = D.postings(docs, query.select("term"), True)
-    assert sorted((r.doc_id, r.start, r.end) for r in D.near_matches(index, query, 2).collect()) == [(1, 0, 4), (2, 0, 2)]
+    docs = spark.createDataFrame([(1, "a x b y c"), (2, "c a b"), (3, "a x x x x b c"), (None, "x x x a b c"), (3, "b")], "doc_id long, text string")
+    items = spark.createDataFrame([("q", "A b c b"), ("e", None)], "item_id string, text string")
+    assert sorted((r.doc_id or 0, r.item_id, r.start, r.end) for r in D.proximity(docs, items, 2).collect()) == [(0, "q", 3, 5), (1, "q", 0, 4), (2, "q", 0, 2)]
+
+
+def test_near_matches_against_brute_force(spark):
+    r = random.Random(3)
+    docs = [(i, " ".join(r.choice("abcdef") for _ in range(r.randrange(40)))) for i in range(40)]
+    items, slop, want = [("x", "a b c"), ("y", "d"), ("z", "f e")], 2, set()
+    for d, t in docs:
+        w = words(t)
+        for item, q in items:
+            need = set(words(q))
+            for i, x in enumerate(w):
+                seen = {}
+                for j in range(i, min(i + len(need) + slop, len(w))):
+                    seen.setdefault(w[j], j)
+                if x in need and need <= set(seen):
+                    want.add((d, item, i, max(seen[y] for y in need)))
+    got = D.proximity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"), slop)
+    assert {tuple(r) for r in got.collect()} == want
