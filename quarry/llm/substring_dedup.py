@@ -6,7 +6,9 @@ aligned anchor that lies inside both. Only windows around anchors that two docum
 to the full length and compared.
 
 Rows without text have no words. Repeated rows (same doc_id and text) each get the same result; copies under
-other ids are removed from all but the smallest id. Rows without doc_id are returned and match nothing.
+other ids are removed from all but the smallest id. A doc_id with several texts counts as one document when others
+are compared with it, and each of its texts is cut at its own places. Rows without doc_id have no smaller id: they
+are returned whole, and nothing is removed for their sake.
 """
 
 from __future__ import annotations
@@ -66,7 +68,7 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
 
 
 def candidates(length: int):
-    """Emits (h, doc_id, pos) for each window of full length that holds a shared anchor."""
+    """Emits (h, doc_id, own, pos) for each window of full length that holds a shared anchor. own: the hash of the text."""
     size = length - PERIOD + 1
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,19 +76,19 @@ def candidates(length: int):
             batch = batch.filter(batch.column("shared").is_valid())
             if not batch.num_rows:
                 continue
-            ids, shared = batch.column("doc_id").to_numpy(), _lists(batch.column("shared"))
+            ids, own, shared = batch.column("doc_id").to_numpy(), batch.column("own").to_numpy(), _lists(batch.column("shared"))
             for words in word_chunks(batch.column("text")):
                 hashes = words.hashes(lower=False)
                 mark = np.zeros(len(hashes) + 1, np.int32)
                 for first, last, at in zip(words.first[:-1], words.first[1:], shared[words.rows], strict=True):
-                    at = first + at
+                    at = first + at[at < last - first]
                     np.add.at(mark, np.maximum(at - (length - size), first), 1)
                     np.add.at(mark, np.minimum(at + 1, last), -1)
                 found, begin = windows(words, hashes, length)
                 keep = np.cumsum(mark[:-1])[begin] > 0
                 pos = _within(words, len(hashes))[begin[keep]]
-                owner = np.repeat(ids[words.rows], words.counts())[begin[keep]]
-                yield _batch(h=found[keep].view(np.int64), doc_id=owner, pos=pos.astype(np.int32))
+                owner = np.repeat(np.arange(words.rows.start, words.rows.stop), words.counts())[begin[keep]]
+                yield _batch(h=found[keep].view(np.int64), doc_id=ids[owner], own=own[owner], pos=pos.astype(np.int32))
 
     return emit
 
@@ -131,10 +133,13 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = True) ->
     shared = written(found.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("h"), folder, "shared")
     places = written(found.join(shared, "h").groupBy("doc_id").agg(F.collect_set("pos").alias("shared")), folder, "places")
     # left joins keep both reads of the texts alike, so one exchange of texts serves both
-    spread = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-    longer = written(spread.join(places, "doc_id", "left").select("doc_id", "text", "shared").mapInArrow(candidates(length), rows), folder, "windows")
+    spread = known.withColumn("own", F.xxhash64("text")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    marked = spread.join(places, "doc_id", "left").select("doc_id", "own", "text", "shared")
+    longer = written(marked.mapInArrow(candidates(length), "h long, doc_id long, own long, pos int"), folder, "windows")
     first = longer.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h", "first")
     first = written(first, folder, "first")
-    starts = longer.join(first, "h").filter("doc_id > first").groupBy("doc_id").agg(F.collect_set("pos").alias("starts"))
+    starts = longer.join(first, "h").filter("doc_id > first").groupBy("doc_id", "own").agg(F.collect_set("pos").alias("starts"))
     columns = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return spread.join(starts, "doc_id", "left").select("doc_id", "text", "starts").mapInArrow(_cut(length, with_text), columns)
+    cut = spread.join(starts, ["doc_id", "own"], "left").select("doc_id", "text", "starts")
+    rest = docs.filter("doc_id is null").withColumn("starts", F.lit(None).cast("array<int>"))
+    return cut.mapInArrow(_cut(length, with_text), columns).union(rest.mapInArrow(_cut(length, with_text), columns))

@@ -53,3 +53,18 @@ def test_edges(spark):
     got = {(r.doc_id, r.n_removed) for r in remove_repeats(df).collect()}
     assert got == {(1, 0), (None, 0), (2, 60)}
     assert remove_repeats(df.limit(0)).count() == 0
+
+
+def test_rows_of_one_id_are_cut_by_their_own_text(spark):
+    text = " ".join(f"x{i}" for i in range(60))
+    other = " ".join(f"y{i}" for i in range(80))
+    df = spark.createDataFrame([(1, text), (5, text), (5, other), (5, "short"), (None, text), (None, text), (7, other), (8, None)], "doc_id long, text string")
+    got = sorted(((r.doc_id or 0), r.n_words, r.n_removed) for r in remove_repeats(df).collect())
+    assert got == [(0, 60, 0), (0, 60, 0), (1, 60, 0), (5, 1, 0), (5, 60, 60), (5, 80, 0), (7, 80, 80), (8, 0, 0)]
+
+
+def test_very_long_text_and_whole_table(spark):
+    long = " ".join(f"w{i}" for i in range(150_000))
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    docs += [(10**6, long), (10**6 + 1, "a b " + long), (10**6 + 2, "z " * 50_000)]
+    assert rows(remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))) == brute(docs, 50)
