@@ -130,4 +130,4 @@ def check(docs: DataFrame, items: DataFrame, size: int = WINDOW, keep: tuple[str
     ids = F.coalesce("items", F.array().cast("array<string>"))
     out = checked.join(owned, "row", "left").select("doc_id", "kept", "n_words", covered(F.col("hits")).cast("long").alias("n_hit"), ids.alias("items"), "hits")
     columns = ("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha256(F.array_join("items", ",")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items", "hits")
-    return out.select(*columns, *(f"kept.{c}" for c in keep))
+    return out.select(*columns, *(F.col(f"kept.{c}").alias(c) for c in keep if c != "doc_id"))

@@ -11,8 +11,10 @@ the text that shares most keys with others, and joins what is linked; a key all
 is finished. What stays unconnected after ROUNDS hubs is compared one by one, but for texts whose rare shingles
 rule that out.
 
-Texts with equal sets are one text. Null and empty texts have no set and link with nothing. Rows without
-doc_id are returned with a null component and kept. Repeated rows get the same result each.
+Texts with equal sets are one text. Rows are told apart by a number that they get when they are written, so rows
+without doc_id and repeated ids with different texts are linked each by its own text. A component without any
+doc_id has none to name it. Null and empty texts have no set and link with nothing. Repeated rows get the same
+result each, but only one row of a component is `first`.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.hashing import U, mixed, windows, word_chunks
-from quarry.llm.shared import dropped, scratch, written
+from quarry.llm.shared import dropped, numbered, scratch, written
 
 CHUNKS, WIDTH, ROUNDS, RARE = 10, 5, 1, 8
 SYMBOLS = CHUNKS * WIDTH
@@ -63,7 +65,7 @@ def _signatures(size: int):
                     for i, row in zip(full, (mixed(least) & U(0xFFFF)).astype(np.uint16), strict=True):
                         signs[i] = row.tobytes()
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column("doc_id").slice(words.rows.start, len(sets)), "n_shingles": pa.array(n, pa.int64()),
+                    "row": batch.column("row").slice(words.rows.start, len(sets)), "doc_id": batch.column("doc_id").slice(words.rows.start, len(sets)), "n_shingles": pa.array(n, pa.int64()),
                     "total": pa.array(sums.view(np.int64)), "fold": pa.array(folds.view(np.int64)), "signature": pa.array(signs, pa.binary()),
                 })
 
@@ -174,6 +176,11 @@ def _near(distance: int):
     return emit
 
 
+def _order(doc_id: str, row: str):
+    """Which row stands for its component: that of the smallest doc_id, rows with one before rows without."""
+    return F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.col(row))
+
+
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     """(id, component) for every id in the undirected edges (a, b): the smallest id reachable.
 
@@ -198,17 +205,19 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b")).distinct())
 
 
-def link(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id is that)."""
+def link(docs: DataFrame, shingle: int = 5, percent: int = 80, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id is that), first (the row that stands for its component), and the columns `keep`."""
     spark, folder = docs.sparkSession, scratch(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signed = written(docs.mapInArrow(_signatures(shingle), "doc_id long, n_shingles long, total long, fold long, signature binary"), folder, "signed")
-    sets = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "total", "fold").agg(F.min_by("signature", "doc_id").alias("signature"), F.min("doc_id").alias("rep"))
+    rows = numbered(docs.select(F.struct(*dict.fromkeys(("doc_id", "text", *keep))).alias("kept")), folder)
+    docs = rows.select("row", F.col("kept.doc_id").cast("long").alias("doc_id"), F.col("kept.text").cast("string").alias("text"))
+    signed = docs.mapInArrow(_signatures(shingle), "row long, doc_id long, n_shingles long, total long, fold long, signature binary")
+    signed = written(signed, folder, "signed")
+    sets = signed.filter("n_shingles > 0").groupBy("n_shingles", "total", "fold").agg(F.min_by("signature", "row").alias("signature"), F.min("row").alias("rep"), F.min("doc_id").alias("low"), F.min_by("row", _order("doc_id", "row")).alias("first"))
     reps = written(sets, folder, "reps")
     keys = reps.select("rep", "signature").mapInArrow(_keys, "key long, rep long")
     often = written(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), folder, "often")
     met = written(keys.join(often, "key"), folder, "met")
-    spread = docs.withColumnRenamed("doc_id", "rep").join(met.select("rep").distinct(), "rep").dropDuplicates(["rep"])
+    spread = docs.select(F.col("row").alias("rep"), "text").join(met.select("rep").distinct(), "rep")
     shingles = written(spread.select("rep", "text").mapInArrow(_shingle_sets(shingle), "rep long, shingles binary"), folder, "shingles")
     size = written(_own_shingles(shingles).join(reps, "rep").select("rep", F.col("n_shingles").alias("size"), "own", "signature"), folder, "sizes")
     shared = written(_able(met.join(size.select("rep", "size", "own"), "rep"), percent), folder, "shared")
@@ -242,7 +251,12 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
         links = links.union(new)
         merged = written(components(links, folder, f"cc{turn}"), folder, f"groups{turn}")
         groups = size.join(merged.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
-    found = reps.select("n_shingles", "total", "fold", F.col("rep").alias("rep")).join(groups, "rep", "left").withColumn("component_id", F.coalesce("component", "rep")).drop("rep", "component")
-    out = signed.join(found, ["n_shingles", "total", "fold"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    placed = reps.select("n_shingles", "total", "fold", "rep", "low", "first").join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    whole = placed.groupBy("component").agg(F.min("low").alias("component_id"), F.min_by("first", _order("low", "first")).alias("first"))
+    found = placed.select("n_shingles", "total", "fold", "component").join(whole, "component").drop("component")
+    out = signed.select("row", "doc_id", "n_shingles", "total", "fold").join(found, ["n_shingles", "total", "fold"], "left")
+    empty = F.col("n_shingles") == 0
+    out = out.select("row", "doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (empty | (F.col("row") == F.col("first"))).alias("first"))
+    if keep:
+        out = rows.join(out, "row")
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("first")).alias("kept"), "first", *(F.col(f"kept.{c}").alias(c) for c in keep if c != "doc_id"))

@@ -32,6 +32,11 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, folder: str, name: str = "rows") -> DataFrame:
+    """docs as a table with a number `row` each, which stays the same however often the table is read."""
+    return written(docs.withColumn("row", F.monotonically_increasing_id()), folder, name)
+
+
 def dropped(spark: SparkSession, path: str) -> None:
     """Deletes a table of the shared folder that nothing reads any more."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

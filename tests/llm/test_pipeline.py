@@ -63,6 +63,34 @@ def test_run(spark):
     assert re.fullmatch("[a-z_]+", P.STAGES[0][0])
 
 
+def test_rows_without_ids_and_other_edges(spark, tmp_path):
+    """Every row is judged by its own text: nulls, empties, repeats, repeated ids, clashing names, a very long text."""
+    good = [r.text for r in table(spark, SF, "documents").join(table(spark, SF, "labels").filter("quality = 1"), "doc_id").filter("length(text) between 800 and 3000").orderBy("doc_id").limit(40).collect()]
+    leak = table(spark, SF, "benchmark").orderBy("item_id").first().text
+    docs = [(i, t, "en", i) for i, t in enumerate(good[:30])] + [(None, good[30], "en", 100), (None, f"{good[31]} {leak} {good[31]}", "en", 101), (3, good[32], "en", 102), (3, f"{good[33]} {leak}", "en", 103)]
+    docs += [(200, good[34], "en", 200), (200, good[34], "en", 200), (None, good[34], "en", 201), (300, None, None, 300), (301, "", "", 301), (None, None, "en", 302), (400, " ".join(good[35:39]) * 60, "en", 400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, row string, kept int")
+    want = {k for k in range(30)} | {100, 102, 200, 300, 301, 302, 400}
+    for name, stage in P.STAGES[1:4]:
+        df = written(stage(spark, df, SF), str(tmp_path), name)
+        assert df.columns == ["doc_id", "text", "row", "kept"]
+    rows = df.collect()
+    twins = {k for k in want if k < 30}  # texts of the table may be near copies of each other
+    assert sum(r.kept == 200 for r in rows) == 1 and {r.kept for r in rows} - twins == want - twins and 201 not in {r.kept for r in rows}
+    judged = P.quality_stage(spark, df, SF)
+    assert judged.columns == df.columns and {r.kept for r in judged.collect()} <= {r.kept for r in rows}
+    assert {r.doc_id for r in P.packing_stage(spark, df, SF).collect()} == {r.doc_id for r in rows}
+    none = df.limit(0)
+    for _, stage in P.STAGES:
+        assert stage(spark, none, SF).count() == 0
+
+
+def test_empty_side_tables(spark, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        table(spark, SF, name).limit(20 if name == "documents" else 0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert P.run(spark, str(tmp_path)).columns[0] == "doc_id"
+
+
 def test_sequences_can_be_built_from_the_last_stage(spark):
     docs = spark.createDataFrame([(1, "one two three"), (2, None), (3, "x " * 5000)], "doc_id long, text string")
     texts, pieces = {r.doc_id: r.text for r in docs.collect()}, defaultdict(list)
