@@ -1,8 +1,11 @@
 """A corpus run: five stages, each over all that the one before kept.
 
-Quality, near-duplicates and decontamination remove documents; personal data is replaced by its kind in brackets;
-packing returns where each piece goes, with its token ids. Stages remove by an anti-join with the ids that they reject, so documents
-without an id stay.
+Quality, near-duplicates and decontamination remove rows; personal data is replaced by its kind in brackets; packing
+returns where each piece goes, with its token ids. Every stage judges rows, not ids: rows without an id, and rows
+that share one, go or stay by their own text. Of equal rows the near-duplicate stage keeps one. Null and empty texts
+are judged like any other by quality, have no duplicates and no contamination, and are packed as the end token alone.
+Empty tables give empty results. Columns of documents beyond doc_id and text go along untouched, whatever their names;
+only n_chars follows the text.
 """
 
 from __future__ import annotations
@@ -20,20 +23,18 @@ ORACLE_SQL = None
 """The stages train models and pack, which SQL can't express; tests hold the rows against brute force."""
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, quality.score(docs, table(spark, sf_dir, "labels")).filter("predicted = 0"))
+    judged = quality.score(docs, table(spark, sf_dir, "labels"), keep=tuple(docs.columns))
+    return judged.filter("predicted = 1").select(docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, near_dedup.link(docs, SHINGLE, PERCENT).filter("not kept"))
+    return near_dedup.link(docs, SHINGLE, PERCENT, keep=tuple(docs.columns)).filter("first").select(docs.columns)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, decontaminate.match(docs, table(spark, sf_dir, "benchmark")))
+    checked = decontaminate.check(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
+    return checked.filter("not contaminated").select(docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
