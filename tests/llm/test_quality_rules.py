@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter
@@ -40,6 +41,65 @@ def test_whole_table(spark):
     assert sum(not r.kept for r in bad) > 0.3 * len(bad)
 
 
+def distances(rows, groups):
+    """The same estimates in numpy, with quantiles at the same bin edges. rows: BASE counts; groups: (lang, source)."""
+    import numpy as np
+
+    from quarry.llm import quality_rules as Q
+
+    base = np.array(rows, float)
+    words = base[:, 0] > 0
+    n, chars, symbols, dups, repeats = base.T
+    n = np.maximum(n, 1)
+    bins = np.array([math.floor(math.log2(a * (a - r + 1) / r) * 16) if r else 960 for a, r in zip(base[words, 0], repeats[words], strict=True)])
+    order = np.argsort(bins, kind="stable")
+    half = 2.0 ** ((bins[order][np.searchsorted(np.cumsum(base[words, 0][order]), base[words, 0].sum() / 2)] + 1) / 16)
+    x = np.column_stack([np.log(chars / n + 0.1), np.sqrt(symbols / np.maximum(chars, 1)), np.sqrt(np.minimum(dups / (n / 10 + 1), 1)), np.sqrt(np.maximum(repeats / n - n / (n + half), 0))])
+    floors = np.diag(np.square(Q.FLOORS))
+    edge = lambda v, share, unit: (np.sort(np.floor(v * unit))[math.ceil(share * len(v)) - 1] + 1) / unit
+    far = lambda v, m, c: np.einsum("ij,jk,ik->i", v - m, np.linalg.inv(c + floors), v - m)
+
+    def mcd(v):
+        m = np.array([edge(v[:, i], 0.5, 512) for i in Q.DIMS])
+        mad = np.array([edge(abs(v[:, i] - m[i]), 0.5, 512) for i in Q.DIMS])
+        ends = []
+        for m, c in ((m, 8 * floors), (m, np.diag((1.4826 * mad) ** 2)), (v.mean(0), np.cov(v.T, bias=True))):
+            for _ in range(Q.STEPS):
+                log = np.log2(far(v, m, c) + 1e-6)
+                some = v[log <= edge(log, Q.HALF, 64)]
+                m, c = some.mean(0), np.cov(some.T, bias=True) * Q.OF_HALF
+            ends.append((round(np.log2(np.sqrt(np.linalg.det(c + floors))), 9), len(ends), m, c))
+        _, _, m, c = min(ends, key=lambda e: e[:2])
+        some = v[far(v, m, c) <= Q.NEAR]
+        return some.mean(0), np.cov(some.T, bias=True) * Q.OF_NEAR
+
+    top, out = mcd(x[words]), np.zeros(len(x))
+    for lang in {g[0] for g in groups}:
+        of_lang = np.array([g[0] == lang for g in groups])
+        above = top
+        if (of_lang & words).any():
+            w, own = (k := (of_lang & words).sum()) / (k + Q.PRIOR), mcd(x[of_lang & words])
+            above = tuple(w * a + (1 - w) * b for a, b in zip(own, top, strict=True))
+        for g in {g for g in groups if g[0] == lang}:
+            at = np.array([h == g for h in groups])
+            m, c = above
+            if (at & words).any():
+                w, own = (k := (at & words).sum()) / (k + Q.PRIOR), mcd(x[at & words])
+                m, c = (w * a + (1 - w) * b for a, b in zip(own, above, strict=True))
+            out[at] = far(x[at], m, c)
+    return out
+
+
+def test_distances_equal_numpy(spark):
+    import numpy as np
+
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    groups = {r.doc_id: (r.lang, r.source) for r in df.collect()}
+    rows = judge(df).collect()
+    want = distances([[r[c] for c in BASE] for r in rows], [groups[r.doc_id] for r in rows])
+    assert np.allclose([r.distance for r in rows], want, rtol=1e-6, atol=1e-8)
+
+
 def test_fuzz(spark):
     r = random.Random(6)
     docs = {i: "".join(r.choice(["a", "b", "c ", " ", "\n", "\t", "a b c", "#", "<|>", "é", "\x0b", " "]) for _ in range(r.randrange(90))) for i in range(400)}
