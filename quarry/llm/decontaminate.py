@@ -108,9 +108,9 @@ def covered(hits: Column) -> Column:
 
 
 def check(docs: DataFrame, items: DataFrame, size: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, hits (sorted start and n_terms) and the columns `keep`."""
+    """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, hits (sorted start and n_terms) and, with keep, those columns as the struct `input`."""
     folder = scratch(docs.sparkSession)
-    kept = F.struct(*keep).alias("kept") if keep else F.lit(None).cast("int").alias("kept")
+    kept = F.struct(*keep).alias("input") if keep else F.lit(None).cast("int").alias("input")
     rows = split_rows(docs, folder, (kept,))
     windows = written(item_windows(items, size), folder, "windows")
     counts = written(term_counts(rows, windows.select(F.explode("terms").alias("term")).distinct()), folder, "counts")
@@ -120,14 +120,14 @@ def check(docs: DataFrame, items: DataFrame, size: int = WINDOW, keep: tuple[str
     places = starts.groupBy("row").agg(F.collect_set(F.struct("start", "window", "n_terms")).alias("places"))
     same = lambda p: F.xxhash64(F.slice("words", p["start"] + 1, p["n_terms"]), p["n_terms"]) == p["window"]
     found = F.coalesce(F.filter("places", same), F.array().cast("array<struct<start:int,window:bigint,n_terms:int>>"))
-    checked = rows.join(places, "row", "left").select("row", "doc_id", "kept", F.size("words").cast("long").alias("n_words"), found.alias("places"))
+    checked = rows.join(places, "row", "left").select("row", "doc_id", "input", F.size("words").cast("long").alias("n_words"), found.alias("places"))
     hits = F.array_sort(F.array_distinct(F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["n_terms"].alias("n_terms")))))
-    checked = checked.select("row", "doc_id", "kept", "n_words", hits.alias("hits"), F.array_distinct(F.transform("places", lambda p: p["window"])).alias("found"))
+    checked = checked.select("row", "doc_id", "input", "n_words", hits.alias("hits"), F.array_distinct(F.transform("places", lambda p: p["window"])).alias("found"))
     checked = written(checked, folder, "checked")
     owners = windows.select("window", "item_id").distinct()
     hit = checked.select("row", F.explode("found").alias("window")).join(owners, "window")
     owned = hit.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     ids = F.coalesce("items", F.array().cast("array<string>"))
-    out = checked.join(owned, "row", "left").select("doc_id", "kept", "n_words", covered(F.col("hits")).cast("long").alias("n_hit"), ids.alias("items"), "hits")
+    out = checked.join(owned, "row", "left").select("doc_id", "input", "n_words", covered(F.col("hits")).cast("long").alias("n_hit"), ids.alias("items"), "hits")
     columns = ("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha256(F.array_join("items", ",")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items", "hits")
-    return out.select(*columns, *(F.col(f"kept.{c}").alias(c) for c in keep if c != "doc_id"))
+    return out.select(*columns, *(["input"] if keep else []))

@@ -206,10 +206,10 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
 
 
 def link(docs: DataFrame, shingle: int = 5, percent: int = 80, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id is that), first (the row that stands for its component), and the columns `keep`."""
+    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id is that), first (the row that stands for its component), and, with keep, those columns as the struct `input`."""
     spark, folder = docs.sparkSession, scratch(docs.sparkSession)
-    rows = numbered(docs.select(F.struct(*dict.fromkeys(("doc_id", "text", *keep))).alias("kept")), folder)
-    docs = rows.select("row", F.col("kept.doc_id").cast("long").alias("doc_id"), F.col("kept.text").cast("string").alias("text"))
+    rows = numbered(docs.select(F.struct(*dict.fromkeys(("doc_id", "text", *keep))).alias("input")), folder)
+    docs = rows.select("row", F.col("input.doc_id").cast("long").alias("doc_id"), F.col("input.text").cast("string").alias("text"))
     signed = docs.mapInArrow(_signatures(shingle), "row long, doc_id long, n_shingles long, total long, fold long, signature binary")
     signed = written(signed, folder, "signed")
     sets = signed.filter("n_shingles > 0").groupBy("n_shingles", "total", "fold").agg(F.min_by("signature", "row").alias("signature"), F.min("row").alias("rep"), F.min("doc_id").alias("low"), F.min_by("row", _order("doc_id", "row")).alias("first"))
@@ -259,4 +259,4 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 80, keep: tuple[str,
     out = out.select("row", "doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (empty | (F.col("row") == F.col("first"))).alias("first"))
     if keep:
         out = rows.join(out, "row")
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("first")).alias("kept"), "first", *(F.col(f"kept.{c}").alias(c) for c in keep if c != "doc_id"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("first")).alias("kept"), "first", *([F.struct(*(F.col(f"input.{c}").alias(c) for c in keep)).alias("input")] if keep else []))

@@ -157,15 +157,15 @@ def probability(weights: dict[str, float], kind: Column, vote: dict[str, Column]
 
 
 def find(docs: DataFrame, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, found (the spans as an array) and the columns `keep`."""
+    """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, found (the spans as an array) and, with keep, those columns as the struct `input`."""
     spark, folder = docs.sparkSession, scratch(docs.sparkSession)
-    docs = docs.select(F.struct(*keep).alias("kept") if keep else F.lit(None).cast("int").alias("kept"), F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.select(F.struct(*keep).alias("input") if keep else F.lit(None).cast("int").alias("input"), F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     text = F.col("text")
     spans = base_spans(text)
     for kind, pattern in LOOSE.items():
         guard = text.rlike("[\\[(]at[\\])]") if kind == "spelled_email" else text.rlike("[0-9]{3}" if kind != "iban" else "[A-Z]{2}[0-9]{2}[A-Z0-9]{11}")
         spans[kind] = _found(text, pattern, guard)
-    held = docs.select("kept", "doc_id", "text", *(c.alias(k) for k, c in spans.items()))
+    held = docs.select("input", "doc_id", "text", *(c.alias(k) for k, c in spans.items()))
     base = F.concat(*(labelled(F.col(k), k, i) for i, k in enumerate(BASE)))
 
     def seen(kind: str) -> Column:
@@ -173,7 +173,7 @@ def find(docs: DataFrame, threshold: float = THRESHOLD, keep: tuple[str, ...] =
         return F.transform(kind, lambda s: F.struct(*(s[c].alias(c) for c in ("start", "end")), F.lit(kind).alias("kind"), *(s[c].alias(c) for c in ("value", "before"))))
 
     held = held.withColumn("candidates", F.concat(*map(seen, KINDS)))
-    out = ["doc_id", "kept", base.alias("base"), *(F.size(k).cast("long").alias(f"n_{k}") for k in BASE), "candidates"]
+    out = ["doc_id", "input", base.alias("base"), *(F.size(k).cast("long").alias(f"n_{k}") for k in BASE), "candidates"]
     held = written(held.select(*out), folder, "candidates")
     each = held.select(F.explode("candidates").alias("c")).select("c.*")
     voted = each.select("kind", *(v.alias(k) for k, v in votes(F.col("kind"), F.col("value"), F.col("before")).items()))
@@ -189,7 +189,7 @@ def find(docs: DataFrame, threshold: float = THRESHOLD, keep: tuple[str, ...] =
     return held.select(
         "doc_id", *(f"n_{k}" for k in BASE), sha256(printed(F.col("base"))).alias("base_sha256"), printed(F.col("all")).alias("spans"),
         F.transform("all", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("found"),
-        *([f"kept.{c}" for c in keep]),
+        *(["input"] if keep else []),
     )
 
 

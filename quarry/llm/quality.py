@@ -88,7 +88,7 @@ def text_features(texts: pa.Array) -> np.ndarray:
 def _emit_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = text_features(batch.column("text")).astype(np.float32)
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "kept": batch.column("kept"), "x": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float32()))})
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "input": batch.column("input"), "x": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float32()))})
 
 
 class AdditiveModel:
@@ -186,15 +186,15 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, pair_rounds: int = 20, r
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held: int = 2, train_rows: int = TRAIN_ROWS, threshold: float = 0.7, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: doc_id, held_out, score (higher: label 1 likelier), predicted (score >= threshold) and the columns `keep`.
+    """Per row: doc_id, held_out, score (higher: label 1 likelier), predicted (score >= threshold) and, with keep, those columns as the struct `input`.
 
     Rows of fold `held` (crc32 of the id as text modulo folds) take no part in the fit.
     """
     spark, folder = docs.sparkSession, scratch(docs.sparkSession)
     kept = F.struct(*keep) if keep else F.lit(None).cast("int")
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), kept.alias("kept"))
-    kind = docs.schema["kept"].dataType.simpleString()
-    found = written(docs.mapInArrow(_emit_features, f"doc_id long, kept {kind}, x array<float>"), folder, "features")
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), kept.alias("input"))
+    kind = docs.schema["input"].dataType.simpleString()
+    found = written(docs.mapInArrow(_emit_features, f"doc_id long, input {kind}, x array<float>"), folder, "features")
     known = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("y")).filter("y is not null and doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     learned = known.filter(remainder(F.col("doc_id"), folds) != held).join(found.filter("doc_id is not null"), "doc_id")
     rows = learned.select("x", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).collect()
@@ -204,8 +204,8 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.asarray(batch.column("x").flatten(), float).reshape(batch.num_rows, len(FEATURES))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "kept": batch.column("kept"), "score": pa.array(model.value.score(x))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "input": batch.column("input"), "score": pa.array(model.value.score(x))})
 
-    out = found.mapInArrow(scored, f"doc_id long, kept {kind}, score double")
+    out = found.mapInArrow(scored, f"doc_id long, input {kind}, score double")
     held_out = F.coalesce(remainder(F.col("doc_id"), folds) == held, F.lit(False))
-    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(F.col(f"kept.{c}").alias(c) for c in keep if c != "doc_id"))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *([F.col("input")] if keep else []))

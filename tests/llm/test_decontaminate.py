@@ -64,7 +64,7 @@ def test_edges(spark):
     test = spark.createDataFrame([(7, "b c", 0)], "item_id long, text string, row int")
     got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.items) for r in D.check(df, test).collect())
     assert got == [(0, 1, 0, []), (0, 3, 2, ["7"]), (1, 2, 0, []), (1, 3, 2, ["7"]), (1, 3, 2, ["7"])]
-    assert sorted((r.kept_items, r.n_hit) for r in D.check(df.withColumnRenamed("items", "kept_items"), test, keep=("kept_items",)).collect()) == [(1, 2), (2, 2), (3, 2), (4, 0), (5, 0)]
+    assert sorted((r.input["items"], r.n_hit) for r in D.check(df, test, keep=("items",)).collect()) == [(1, 2), (2, 2), (3, 2), (4, 0), (5, 0)]
     assert D.check(df.limit(0), test).count() == 0
     assert {r.n_hit for r in D.check(df, test.limit(0)).collect()} == {0}
 

@@ -58,8 +58,8 @@ def test_edges(spark):
     docs = [(1, text, 1), (1, text, 2), (None, text, 3), (4, other, 4), (1, other, 5), (None, "q r s t u", 6), (None, "q r s t u", 7), (8, None, 8), (None, "", 9)]
     df = spark.createDataFrame(docs, "doc_id long, text string, rep int")
     rows = link(df, keep=("rep", "text")).collect()
-    assert {r.rep: (r.component_id, r.kept) for r in rows} == {1: (1, True), 2: (1, True), 3: (1, False), 4: (1, False), 5: (1, True), 6: (None, [r.first for r in rows if r.rep == 6][0]), 7: (None, [r.first for r in rows if r.rep == 7][0]), 8: (8, True), 9: (None, True)}
-    assert {r.text for r in rows if r.first} == {text, other, "q r s t u", None, ""} and sum(r.first for r in rows) == 5
+    assert {r.input.rep: (r.component_id, r.kept) for r in rows} == {1: (1, True), 2: (1, True), 3: (1, False), 4: (1, False), 5: (1, True), 6: (None, [r.first for r in rows if r.input.rep == 6][0]), 7: (None, [r.first for r in rows if r.input.rep == 7][0]), 8: (8, True), 9: (None, True)}
+    assert {r.input.text for r in rows if r.first} == {text, other, "q r s t u", None, ""} and sum(r.first for r in rows) == 5
     assert link(df.limit(0)).count() == 0
 
 

@@ -79,7 +79,7 @@ def test_em_finds_the_bad_labeler():
 
 def test_redacted(spark):
     df = spark.createDataFrame([(1, "é a@b.co, 1.2.3.4!"), (2, None), (3, "clean")], "doc_id long, text string")
-    out = find(df, keep=("text",)).select("doc_id", redacted(F.col("text"), F.col("found")).alias("t"))
+    out = find(df, keep=("text",)).select("doc_id", redacted(F.col("input.text"), F.col("found")).alias("t"))
     assert {r.doc_id: r.t for r in out.collect()} == {1: "é [EMAIL], [IP]!", 2: None, 3: "clean"}
 
 
@@ -89,7 +89,7 @@ def test_many_matches_in_one_text(spark):
     text = " ".join(f"call 603-555-{i % 10000:04} or a{i}@b.com" for i in range(100_000))
     began = time.perf_counter()
     df = spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")
-    rows = find(df, keep=("text",)).select("*", redacted(F.col("text"), F.col("found")).alias("t")).collect()
+    rows = find(df, keep=("text",)).select("*", redacted(F.col("input.text"), F.col("found")).alias("t")).collect()
     assert [r.n_email for r in rows] == [100_000] * 2 and rows[0].base_sha256 == hashlib.sha256(",".join(brute(text)).encode()).hexdigest()
     assert rows[0].t == " ".join(["call [LOCAL_PHONE] or [EMAIL]"] * 100_000) and rows[0] == rows[1]
     assert time.perf_counter() - began < 180
