@@ -25,23 +25,23 @@ ORACLE_SQL = None
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = quality.score(docs, table(spark, sf_dir, "labels"), keep=tuple(docs.columns))
-    return judged.filter("predicted = 1").select(docs.columns)
+    return judged.filter("predicted = 1").select("input.*")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.link(docs, SHINGLE, PERCENT, keep=tuple(docs.columns)).filter("first").select(docs.columns)
+    return near_dedup.link(docs, SHINGLE, PERCENT, keep=tuple(docs.columns)).filter("first").select("input.*")
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     checked = decontaminate.check(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    return checked.filter("not contaminated").select(docs.columns)
+    return checked.filter("not contaminated").select("input.*")
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    columns = docs.columns
-    found = pii.find(docs, keep=tuple(c for c in columns if c != "doc_id"))
-    out = found.withColumn("text", pii.redacted(F.col("text"), F.col("found")))
-    return (out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out).select(columns)
+    found = pii.find(docs, keep=tuple(docs.columns))
+    text = pii.redacted(F.col("input.text"), F.col("found"))
+    new = {"text": text, "n_chars": F.length(text)}
+    return found.select(*((new[f.name].cast(f.dataType) if f.name in new else F.col("input")[f.name]).alias(f.name) for f in docs.schema))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
