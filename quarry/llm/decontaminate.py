@@ -6,7 +6,8 @@ Occurrences of test terms are counted over all texts; each window is looked up b
 intersected; what both terms agree on is compared with the hash of the whole window. Proximity queries use the
 same kind of index with a slop.
 
-No join is hinted: the planner broadcasts the test side by its size in bytes and shuffles both sides beyond that.
+No join is hinted: what is looked up is a table of its own, which the planner broadcasts by its size in bytes or,
+beyond that, shuffles.
 Rows are told apart by a number that they get when they are written, so rows without doc_id and repeated ids with
 different texts are checked each by its own text. Null and empty texts have no words. Items without words are
 ignored. Repeated rows get the same result each.
@@ -43,9 +44,9 @@ def item_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
 
 
 def term_counts(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n): occurrences of each test term in all training texts."""
+    """(term, n): occurrences of each test term in all training texts. Few terms are looked up before counting, many after it."""
     tokens = rows.select(F.explode("words").alias("term"))
-    return tokens.join(terms, "term").groupBy("term").agg(F.count("*").alias("n"))
+    return tokens.groupBy("term").agg(F.count("*").alias("n")).join(terms, "term", "left_semi")
 
 
 def postings(rows: DataFrame, terms: DataFrame) -> DataFrame:
@@ -93,7 +94,7 @@ def proximity(docs: DataFrame, items: DataFrame, slop: int) -> DataFrame:
     rows = split_rows(docs, folder)
     query = items.select(F.col("item_id").cast("string").alias("query"), F.explode(F.array_distinct(alnum_words(F.col("text").cast("string")))).alias("term")).distinct()
     query = written(query, folder, "queries")
-    index = written(postings(rows, query.select("term").distinct()), folder, "postings")
+    index = written(postings(rows, written(query.select("term").distinct(), folder, "terms")), folder, "postings")
     return near_matches(index, query, slop).join(rows.select("row", "doc_id"), "row").select("doc_id", F.col("query").alias("item_id"), "start", "end")
 
 
@@ -113,11 +114,13 @@ def check(docs: DataFrame, items: DataFrame, size: int = WINDOW, keep: tuple[str
     kept = F.struct(*keep).alias("input") if keep else F.lit(None).cast("int").alias("input")
     rows = split_rows(docs, folder, (kept,))
     windows = written(item_windows(items, size), folder, "windows")
-    counts = written(term_counts(rows, windows.select(F.explode("terms").alias("term")).distinct()), folder, "counts")
+    terms = written(windows.select(F.explode("terms").alias("term")).distinct(), folder, "terms")
+    counts = written(term_counts(rows, terms), folder, "counts")
     wanted = written(rarest(windows, counts), folder, "wanted")
-    index = written(postings(rows, wanted.select("term").distinct()), folder, "postings")
-    starts = written(phrase_starts(index, wanted), folder, "starts")
+    index = written(postings(rows, written(wanted.select("term").distinct(), folder, "looked_up")), folder, "postings")
+    starts = phrase_starts(index, wanted)
     places = starts.groupBy("row").agg(F.collect_set(F.struct("start", "window", "n_terms")).alias("places"))
+    places = written(places, folder, "places")
     same = lambda p: F.xxhash64(F.slice("words", p["start"] + 1, p["n_terms"]), p["n_terms"]) == p["window"]
     found = F.coalesce(F.filter("places", same), F.array().cast("array<struct<start:int,window:bigint,n_terms:int>>"))
     checked = rows.join(places, "row", "left").select("row", "doc_id", "input", F.size("words").cast("long").alias("n_words"), found.alias("places"))
