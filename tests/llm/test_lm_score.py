@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quarry.llm.lm_score import BUCKETS, CLASSES, Learner, _features, _log_softmax, score
+from quarry.llm.lm_score import ALPHA, Classes, Slopes, _features, log_choices, newton, score
 
 SF = "/root/testdata/sf0.01"
 
@@ -34,19 +34,70 @@ def test_against_brute_force(spark, frequent):
     assert gain > 0.1
 
 
-def test_softmax_sums_to_one():
+def some_classes(depth=5):
     r = np.random.default_rng(0)
-    w = r.normal(size=(BUCKETS, CLASSES)).astype(np.float32)
-    assert np.allclose(np.exp(_log_softmax(w, r.integers(0, BUCKETS, (4, 50)).astype(np.uint16))).sum(1), 1, atol=1e-5)
+    keys = np.sort(r.integers(1, 2**63, 200, dtype=np.uint64))
+    times = np.floor(1000 / np.arange(1, 201)) + 1
+    total = times.sum() + 30 * (3 + ALPHA) + ALPHA * 231
+    classes = Classes.fill(keys, times, total, depth)
+    rest = classes.rest + np.arange(30) % (len(classes.mass) - classes.rest)
+    np.add.at(classes.mass, rest, 3 + ALPHA)
+    return classes
 
 
-def test_learner_learns():
-    classes = np.tile([1, 2, 3, 0], 3000)
-    hashes = classes.astype(np.uint64) + np.uint64(77)
-    features = _features(hashes, classes, np.array([0]))
-    learner = Learner(np.zeros((BUCKETS, CLASSES)))
-    learner.learn(features, classes)
-    assert np.exp(_log_softmax(learner.weights, features)[np.arange(len(classes)), classes])[10:].mean() > 0.8
+def test_softmax_over_classes_sums_to_one():
+    classes, r = some_classes(), np.random.default_rng(1)
+    w = r.normal(size=1 << 14).astype(np.float32)
+    features = r.integers(0, 2**32, (3, 1), dtype=np.uint32).repeat(32, 1)
+    assert np.exp(log_choices(w, classes.odds(), features, np.arange(32))).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_without_weights_the_model_is_the_base():
+    classes = some_classes()
+    z = np.exp(log_choices(np.zeros(1 << 14, np.float32), classes.odds(), np.zeros((3, 32), np.uint32), np.arange(32)))
+    assert np.allclose(z, classes.mass / classes.mass.sum(), atol=1e-4)
+    own, hit, times = classes.known(classes.keys)
+    assert hit.all() and (own < classes.rest).all() and times.max() == classes.times.max()
+    own, hit, _ = classes.known(classes.keys + np.uint64(1))
+    assert not hit.any() and (own >= classes.rest).all()
+    assert np.bincount(own, minlength=len(classes.mass))[classes.rest :].min() > 0
+
+
+def test_context_predicts_words():
+    """Weights tell words of alike frequency by the word before; without it nothing does."""
+    r = np.random.default_rng(2)
+    keys = np.sort(r.integers(1, 2**63, 16, dtype=np.uint64))
+    classes = Classes.fill(keys, np.full(16, 1000.0), 16000 + ALPHA * 17, 6)
+    stream = np.tile(keys, 500)
+    features, own, odds = _features(stream, np.array([0])), classes.known(stream)[0], classes.odds()
+    w = np.zeros(1 << 16, np.float32)
+    for _ in range(3):
+        sums = Slopes(w, odds)
+        sums.add(features, own)
+        w = newton(w, sums.slope, sums.curve)
+    assert np.exp(log_choices(w, odds, features, own))[10:].mean() > 0.8
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    one, eight = ({r.doc_id: r for r in score(df.repartition(n, "doc_id")).collect()} for n in (1, 8))
+    assert all(one[d].score == pytest.approx(eight[d].score, rel=1e-5) and one[d].base_score == pytest.approx(eight[d].base_score, rel=1e-9) for d in one)
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"w{i % 5000}" for i in range(300_000))
+    rows = {r.doc_id: r for r in score(spark.createDataFrame([(1, text), (2, text), (3, "w1 w2 w3")], "doc_id long, text string")).collect()}
+    assert rows[1].n_tokens == 300_001 and rows[1].score == pytest.approx(rows[2].score) and rows[1].score > rows[1].base_score
+
+
+def test_least_count(spark):
+    from quarry.llm.lm_score import least_count
+
+    n = [1] * 50 + [2] * 20 + [900] * 7 + [5000] * 3 + [10**6, 10**12]
+    counts = spark.createDataFrame([(i, x) for i, x in enumerate(n)], "h long, n long").coalesce(1)
+    for frequent in (0, 1, 2, 4, 5, 11, 12, 31, 32, 81, 82, 500):
+        least = least_count(counts, frequent)
+        assert sum(x >= least for x in n) <= frequent and (least == 1 or sum(x >= least - 1 for x in n) > frequent)
 
 
 def test_edges(spark):
