@@ -112,9 +112,10 @@ def with_distance(df: DataFrame, estimate: DataFrame) -> DataFrame:
     return out.select(*columns, reduce(lambda a, b: a + b, (F.col(f"y{i}") * F.col(f"y{i}") for i in DIMS)).alias("d"))
 
 
-def starts(vectors: DataFrame) -> DataFrame:
+def starts(vectors: DataFrame, folder: str) -> DataFrame:
     """(g, start, m.., v..): medians with a little spread, medians with that of the deviations from them, and plain moments."""
     medians = reduce(lambda a, i: a.join(binned_quantile(vectors, ("g",), F.col(f"s{i}"), 0.5, f"m{i}", 512), "g"), list(DIMS)[1:], binned_quantile(vectors, ("g",), F.col("s0"), 0.5, "m0", 512))
+    medians = written(medians, folder, "medians")
     off = vectors.join(medians, "g")
     spread = reduce(lambda a, i: a.join(binned_quantile(off, ("g",), F.abs(F.col(f"s{i}") - F.col(f"m{i}")), 0.5, f"d{i}", 512), "g"), DIMS, medians)
     diagonal = lambda at, k: [(at(i) if i == j else F.lit(0.0)).alias(f"v{i}{j}") for i, j in PAIRS] + [F.lit(k).alias("start")]
@@ -125,15 +126,20 @@ def starts(vectors: DataFrame) -> DataFrame:
 
 
 def estimates(vectors: DataFrame, folder: str, steps: int = STEPS) -> DataFrame:
-    """(g, n, m.., v..): the refined minimum covariance determinant estimate of each group, and its number of rows."""
-    estimate = written(factored(starts(vectors)), folder, "estimate0")
+    """(g, n, m.., v..): the refined minimum covariance determinant estimate of each group, and its number of rows.
+
+    What the vectors are joined with is a table of its own, so that the planner broadcasts it by its size and no hot
+    group meets in one task.
+    """
+    estimate = written(factored(starts(vectors, folder)), folder, "estimate0")
     for step in range(1, steps + 1):
         near = with_distance(vectors, estimate)
         log = F.log2(F.col("d") + 1e-6)
-        edge = binned_quantile(near, ("g", "start"), log, HALF, "edge", 64)
+        edge = written(binned_quantile(near, ("g", "start"), log, HALF, "edge", 64), folder, f"edge{step}")
         estimate = written(factored(moments(near.join(edge, ["g", "start"]).filter(log <= F.col("edge")), ("g", "start"), OF_HALF)), folder, f"estimate{step}")
     size = reduce(lambda a, b: a * b, (F.col(f"c{i}{i}") for i in DIMS))
     best = estimate.groupBy("g").agg(F.min_by(F.struct(*estimate.columns), F.struct(F.round(F.log2(size), 9), "start")).alias("e")).select("e.*").drop("start", "n")
+    best = written(best, folder, "best")
     near = with_distance(vectors, best).filter(F.col("d") <= NEAR)
     return written(moments(near, ("g",), OF_NEAR).drop("n").join(vectors.groupBy("g").agg(F.count("*").alias("n")), "g"), folder, "estimates")
 
