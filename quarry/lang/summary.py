@@ -30,14 +30,9 @@ def _javascript(text: str) -> list[tuple[str, bool]]:
         if s.kind == "method":
             continue
         body = "\n".join(lines[s.line_start - 1 : s.line_end])
-        label = {"fn": f"function {s.name}()", "class": f"class {s.name}", "type": f"type {s.name}", "enum": f"enum {s.name}"}.get(s.kind)
+        label = None if s.word else {"fn": f"function {s.name}()", "class": f"class {s.name}", "type": f"type {s.name}", "enum": f"enum {s.name}"}[s.kind]
         if label is None:
-            word = (re.search(r"\b(const|let|var)\b", body) or ["const"])[0]
-            value = body.split("=", 1)[-1].lstrip()
-            if value.startswith("require("):
-                continue
-            called = re.match(r"(?:async\s+)?(?:function\b|\([^)]*\)\s*(?::[^=]*)?=>|[\w$]+\s*=>)", value)
-            label = f"{word} {s.name}{'()' if called else ''}"
+            label = f"{s.word} {s.name}{'()' if s.kind == 'fn' else ''}"
         elif s.kind == "class" and any(w in body for w in _COMPONENT):
             label += " (web component)"
         start = re.match(r"\s*export\s+(default\s+)?", body)
@@ -69,7 +64,10 @@ def declarations(text: str, ext: str) -> list[tuple[str, bool]]:
     if lang == "rust":
         return _rust(text)
     word = {"fn": "def" if lang == "python" else "func", "method": "func"}
-    return [(f"{word.get(s.kind, s.kind)} {s.name}{'()' if s.kind in word else ''}", s.exported) for s in reader.symbols(text, ext)]
+    found = reader.symbols(text, ext)
+    if lang == "go":  # the first of grouped types stands for all
+        found = [s for s, before in zip(found, [None, *found], strict=False) if not (before and s.kind == before.kind == "type" and s.line_start == before.line_start)]
+    return [(f"{word.get(s.kind, s.kind)} {s.name}{'()' if s.kind in word else ''}", s.exported) for s in found]
 
 
 def summary(text: str, ext: str) -> str:

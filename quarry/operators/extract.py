@@ -37,7 +37,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path, content in zip(batch["path"], batch["content"], strict=True):
             name, text = path.rsplit("/", 1)[-1], content or ""
             ext = name.rsplit(".", 1)[-1]
-            found = [vars(s) for s in reader.symbols(text, ext)]
+            found = [{k: v for k, v in vars(s).items() if k != "word"} for s in reader.symbols(text, ext)]
             used = [{"imported_name": i.name, "raw_path": i.raw_path, "line_number": i.line, "candidates": reader.candidates(i.raw_path, path, ext)} for i in reader.imports(text, ext)]
             rows.append((summary(text, ext), density(text.encode()), found, used))
         read = pd.DataFrame(rows, columns=["declared", "density", "symbols", "imports"], index=batch.index)

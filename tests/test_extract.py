@@ -32,7 +32,7 @@ def brief(text, ext):
 
 def test_symbols():
     assert brief(RUST, "rs") == [("Foo", "struct", 3, 3, True), ("Foo::new", "method", 5, 5, True), ("Foo::hidden", "method", 6, 6, False), ("private", "fn", 8, 8, False), ("MAX", "const", 9, 9, True)]
-    assert brief(JS, "ts") == [("Widget", "class", 4, 7, True), ("Widget::make", "method", 5, 5, True), ("Widget::#secret", "method", 6, 6, True), ("arrow", "const", 8, 8, True), ("local", "fn", 9, 9, False)]
+    assert brief(JS, "ts") == [("Widget", "class", 4, 7, True), ("Widget::make", "method", 5, 5, True), ("Widget::#secret", "method", 6, 6, True), ("arrow", "fn", 8, 8, True), ("local", "fn", 9, 9, False)]
     assert brief(PYTHON, "py") == [("public", "fn", 4, 5, True), ("_Hidden", "class", 7, 8, False)]
     assert brief(GO, "go") == [("Thing", "type", 8, 9, True), ("Do", "method", 11, 12, True), ("helper", "fn", 14, 14, False)]
     assert symbols("fn broken( {", "rs")[0].name == "broken" and symbols("x", "md") == []
@@ -65,3 +65,32 @@ def test_tree_to_tables(spark, tmp_path):
     edges = {(r.source_file, r.imported_name): r.target_path for r in extract.imports(found, listing).collect()}
     assert edges[("src/main.rs", "private")] == "src/core.rs" and edges[("pkg/m.py", "z")] == "pkg/__init__.py"
     assert {r.name for r in extract.symbols(found).collect()} >= {"Foo", "Foo::new", "private", "MAX"}
+
+
+def test_several_declarators_and_items_on_a_line():
+    text = "export const a = 1, b = () => 2, { c } = x\nconst d = 3\nlet e = function () { return 1 }, f\nvar fs = require('fs'), g = [1,\n 2]; class K { m({ x }) { } static n() { } field = () => { } } function h() { }\n"
+    assert brief(text, "js") == [("a", "const", 1, 1, True), ("b", "fn", 1, 1, True), ("d", "const", 2, 2, False), ("e", "fn", 3, 3, False), ("f", "const", 3, 3, False), ("g", "const", 4, 5, False), ("K", "class", 5, 5, False), ("K::m", "method", 5, 5, False), ("K::n", "method", 5, 5, False), ("h", "fn", 5, 5, False)]
+    assert [s.signature for s in symbols("export class Box extends A { }", "js")] == ["class Box extends A"]
+    assert brief("#[derive(Debug)] pub struct A; fn b() {} enum C { D }\n", "rs") == [("A", "struct", 1, 1, True), ("b", "fn", 1, 1, False), ("C", "enum", 1, 1, False)]
+
+
+def test_regex_literals_and_templates_hide_brackets():
+    text = "const r = /[{(]/g;\nfunction one() { return /}/.test(x) }\nconst t = `${y ? `{` : '('} {`;\nfunction two() { }\nconst half = a / b / c;\nfunction three() { }\n"
+    assert [s.name for s in symbols(text, "js")] == ["r", "one", "t", "two", "half", "three"]
+
+
+def test_go_groups_and_aliases():
+    text = "package p\n\ntype (\n\tA struct {\n\t\tx int\n\t}\n\tb interface{}\n\tC = string\n)\n\ntype ID int\ntype Alias = int\nfunc (s *A) Run() error {\n}\nfunc Map[T any](x T) {\n}\n"
+    assert brief(text, "go") == [("A", "type", 3, 9, True), ("b", "type", 3, 9, False), ("ID", "type", 11, 11, True), ("Run", "method", 13, 14, True), ("Map", "fn", 15, 16, True)]
+
+
+def test_python_spans_and_decorators():
+    text = "@cached\ndef a(\n    x,\n):\n    return 1\n\nasync def b(): pass\nclass C:\n    \'\'\'\nclass Not:\n    \'\'\'\n    def m(self): pass\n"
+    assert brief(text, "py") == [("a", "fn", 2, 5, True), ("b", "fn", 7, 7, True), ("C", "class", 8, 12, True)]
+
+
+def test_imports_are_not_read_from_comments_or_strings():
+    assert imports("/*\nimport a from './a';\n*/\nconst t = `\nimport b from './b'\n`;\n// import c from './c'\nimport d, { type e as f, g } from \"./d\";\nimport h from 'lib'\n", "ts") == [type(i)(n, "./d", 8) for i in imports("import x from './x'", "js") for n in ("default", "e", "g")]
+    assert [(i.name, i.raw_path, i.line) for i in imports('"""\nfrom .fake import x\n"""\nfrom ..pkg import (a as b,  # one\n    c)\nfrom . import *\n# from .no import z\n', "py")] == [("a", "..pkg", 4), ("c", "..pkg", 4)]
+    assert [(i.name, i.raw_path) for i in imports("/* use crate::no::X; */\nuse crate::a::{b::{c, d as e}, self, f::*, g};\npub use crate::top;\nuse std::fs;\nuse crate::h::I as J;\n", "rs")] == [("c", "crate::a::b"), ("d", "crate::a::b"), ("*", "crate::a::f"), ("g", "crate::a"), ("top", "crate"), ("I", "crate::h")]
+    assert [(i.name, i.line) for i in imports('package p\n// import "no"\nimport f "fmt"\nimport (\n\t"a/b"\n\t. "c" // "d"\n)\n', "go")] == [("fmt", 3), ("b", 5), ("c", 6)]
