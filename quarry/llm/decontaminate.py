@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import NOT_ALNUM, lower_ascii, scratch, split_words, written
+from quarry.llm.shared import NOT_ALNUM, keep_only, lower_ascii, scratch, split_words, written
 from quarry.llm.spans import sha256
 
 WINDOW, RARE = 10, 2
@@ -127,6 +127,7 @@ def check(docs: DataFrame, items: DataFrame, size: int = WINDOW, keep: tuple[str
     hits = F.array_sort(F.array_distinct(F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["n_terms"].alias("n_terms")))))
     checked = checked.select("row", "doc_id", "input", "n_words", hits.alias("hits"), F.array_distinct(F.transform("places", lambda p: p["window"])).alias("found"))
     checked = written(checked, folder, "checked")
+    keep_only(docs.sparkSession, folder, "checked", "windows")
     owners = windows.select("window", "item_id").distinct()
     hit = checked.select("row", F.explode("found").alias("window")).join(owners, "window")
     owned = hit.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.hashing import U, Words, mixed, word_chunks
-from quarry.llm.shared import remainder, scratch, written
+from quarry.llm.shared import keep_only, remainder, scratch, written
 
 DEPTH, MIN_BITS, MAX_BITS, FREQUENT, ROUNDS, RATE, RIDGE, PART = 10, 14, 22, 1 << 19, 2, 0.7, 3.0, 1 << 14
 ALPHA, BLOCK, MOST = 0.1, 1 << 16, 12.0
@@ -263,6 +263,7 @@ def score(docs: DataFrame, folds: int = 10, held: int = 0, frequent: int = FREQU
 
     kinds = "row long, doc_id long, n_tokens long, common long, logs double, model double, rare array<long>"
     scores = written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(scored, kinds), folder, "scores")
+    keep_only(spark, folder, "counts", "scores")
     rare = scores.select("row", F.explode("rare").alias("h")).join(counts.filter(F.col("n") < least).select("h", "n"), "h", "left")
     added = rare.groupBy("row").agg(F.count("n").alias("rare_known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + ALPHA)).alias("rare_logs"))
     out = scores.drop("rare").join(added, "row", "left")

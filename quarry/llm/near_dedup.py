@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.hashing import U, mixed, windows, word_chunks
-from quarry.llm.shared import dropped, numbered, scratch, written
+from quarry.llm.shared import dropped, keep_only, numbered, scratch, written
 
 CHUNKS, WIDTH, ROUNDS, RARE = 10, 5, 1, 8
 SYMBOLS = CHUNKS * WIDTH
@@ -251,6 +251,7 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 80, keep: tuple[str,
         links = links.union(new)
         merged = written(components(links, folder, f"cc{turn}"), folder, f"groups{turn}")
         groups = size.join(merged.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
+    keep_only(spark, folder, "rows", "signed", "reps", "sizes", *(f"groups{turn}" for turn in range(ROUNDS + 1)))
     placed = reps.select("n_shingles", "total", "fold", "rep", "low", "first").join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     whole = placed.groupBy("component").agg(F.min("low").alias("component_id"), F.min_by("first", _order("low", "first")).alias("first"))
     found = placed.select("n_shingles", "total", "fold", "component").join(whole, "component").drop("component")

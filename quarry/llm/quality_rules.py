@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import scratch, split_words, written
+from quarry.llm.shared import keep_only, scratch, split_words, written
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -166,7 +166,9 @@ def judge(docs: DataFrame, cut: float = CUT, steps: int = STEPS) -> DataFrame:
     langs = groups.select(F.col("of_lang").alias("g"), F.lit(ALL).alias("all")).distinct().join(found, "g", "left")
     langs = drawn(langs, table, "all")
     sources = drawn(groups.join(found, "g", "left"), langs, "of_lang")
-    out = with_distance(rows, written(factored(sources), folder, "drawn"))
+    estimate = written(factored(sources), folder, "drawn")
+    keep_only(spark, folder, "counts", "drawn")
+    out = with_distance(rows, estimate)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     kept = ~failed & (F.coalesce("d", F.lit(0.0)) <= cut)
     return out.select("doc_id", *BASE, failed.alias("base_failed"), kept.alias("kept"), F.col("d").alias("distance"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import string
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,9 @@ SPACE = "[ \\x09-\\x0D]+"
 NOT_ALNUM = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
+_folders: list[str] = []
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which all executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,7 +27,28 @@ def scratch(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/quarry-{uuid.uuid4().hex}"
+    _folders.append(f"{base.rstrip('/')}/quarry-{uuid.uuid4().hex}")
+    return _folders[-1]
+
+
+@contextlib.contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Deletes the folders that are made inside: what comes out must be written elsewhere by then."""
+    before = len(_folders)
+    try:
+        yield
+    finally:
+        for folder in _folders[before:]:
+            dropped(spark, folder)
+        del _folders[before:]
+
+
+def keep_only(spark: SparkSession, folder: str, *names: str) -> None:
+    """Deletes a folder's tables but those named, once nothing that is still to run reads them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    for status in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path):
+        if status.getPath().getName() not in names:
+            dropped(spark, status.getPath().toString())
 
 
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:

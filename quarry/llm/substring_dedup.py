@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.hashing import Words, windows, word_chunks
-from quarry.llm.shared import scratch, written
+from quarry.llm.shared import keep_only, scratch, written
 
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
@@ -138,6 +138,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = True) ->
     longer = written(marked.mapInArrow(candidates(length), "h long, doc_id long, own long, pos int"), folder, "windows")
     first = longer.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h", "first")
     first = written(first, folder, "first")
+    keep_only(spark, folder, "windows", "first", "places")
     starts = longer.join(first, "h").filter("doc_id > first").groupBy("doc_id", "own").agg(F.collect_set("pos").alias("starts"))
     columns = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     cut = spread.join(starts, ["doc_id", "own"], "left").select("doc_id", "text", "starts")
