@@ -5,7 +5,7 @@ returns where each piece goes, with its token ids. Every stage judges rows, not
 that share one, go or stay by their own text. Of equal rows the near-duplicate stage keeps one. Null and empty texts
 are judged like any other by quality, have no duplicates and no contamination, and are packed as the end token alone.
 Empty tables give empty results. Columns of documents beyond doc_id and text go along untouched, whatever their names;
-only n_chars follows the text.
+only n_chars follows the text. A stage's own tables, and what it read, are deleted once its result is written.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, near_dedup, packing, pii, quality
-from quarry.llm.shared import scratch, table, written
+from quarry.llm.shared import cleared, dropped, scratch, table, written
 
 SHINGLE, PERCENT = 5, 80
 ORACLE_SQL = None
@@ -58,7 +58,11 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = table(spark, sf_dir, "documents"), scratch(spark)
+    docs, folder, last = table(spark, sf_dir, "documents"), scratch(spark), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), folder, name)
+        with cleared(spark):
+            docs = written(stage(spark, docs, sf_dir), folder, name)
+        if last:
+            dropped(spark, f"{folder}/{last}")
+        last = name
     return docs.drop("ids")
