@@ -145,11 +145,9 @@ def gain(a: argparse.Namespace) -> int:
     if g.n_first_edit:
         turns = f", {g.avg_first_edit_turns:.1f} turns ({g.n_first_edit_turns} samples)" if g.n_first_edit_turns else ""
         print(f"{'First edit:':<18} {g.edit:>10}  ({g.n_first_edit} samples){turns}")
-    rows = ledger.daily(log).withColumn("saved", format_tokens(F.col("tokens_saved"))).orderBy(F.desc("day")).collect()
-    most = max([1, *(r.tokens_saved for r in rows)])
+    rows = ledger.daily_bars(log).withColumn("saved", format_tokens(F.col("tokens_saved"))).orderBy(F.desc("day")).collect()
     for i, r in enumerate(rows, 1):
-        full = round(12 * max(r.tokens_saved / most, 0))
-        print(f" {i:>2}.  {r.day!s:<12} {r.events:>7}  {r.saved:>8}  {'█' * full}{'░' * (12 - full)}")
+        print(f" {i:>2}.  {r.day!s:<12} {r.events:>7}  {r.saved:>8}  {r.bar}")
     return 0
 
 

@@ -82,3 +82,7 @@ def hunk_range(header: Column) -> Column:
 
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def unquote(text: Column) -> Column:
+    return F.btrim(text, F.lit("\"'`"))

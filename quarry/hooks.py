@@ -28,10 +28,10 @@ def _project(payload: dict) -> tuple[str, str]:
 
 
 def lookup(folder: str, path: str) -> dict | None:
-    """One file's entry by path; row groups are sorted by it, so others are skipped."""
+    """One file's entry by path; row groups are sorted by it, so others are skipped. Without an index, from the text map."""
     version = build.current(folder)
     if version is None:
-        return None
+        return mapfile.find(folder, path)
     found = ds.dataset(os.path.join(version, "files"), format="parquet").to_table(filter=ds.field("path") == path).to_pylist()
     return found[0] if found else None
 

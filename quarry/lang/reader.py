@@ -269,18 +269,19 @@ def symbols(text: str, ext: str) -> list[Symbol]:
             last = m.start()
             if depth == 0:
                 starts.append(m.start())
-        for a, b in zip(starts, [*starts[1:], len(code)], strict=True):
+        plain = _BLANKED[lang].sub(lambda m: " " * len(m[0]) if m[0][0] == "#" else m[0], text)
+        for a, b in zip(starts, [*starts[1:], len(code)], strict=False):
             if m := _PY.match(code, a):
-                add(m["name"], "fn" if m["kind"] == "def" else "class", a, a + len(code[a:b].rstrip()) if code[a:b].strip() else b, not m["name"].startswith("_"))
+                add(m["name"], "fn" if m["kind"] == "def" else "class", a, a + len(plain[a:b].rstrip()), not m["name"].startswith("_"))
         return out
     _walk(code, 0, len(code), {"rust": rust, "js": js, "go": go}[lang])
     return out
 
 
-_ESM = re.compile(r"^[ \t]*import\s+(?:type\s+)?(?P<what>[^;'\"]*?)\s*from\s*['\"](?P<path>_+)['\"]", re.M)
+_ESM = re.compile(r"(?:^|;)[ \t]*(?P<word>import)\s+(?:type\s+)?(?P<what>[^;'\"]*?)\s*from\s*['\"](?P<path>_+)['\"]", re.M)
 _CJS = re.compile(r"^(?:const|let|var)\s*\{(?P<what>[^}]*)\}\s*=\s*require\(\s*['\"](?P<path>_+)['\"]\s*\)", re.M)
 _FROM = re.compile(r"^from[ \t]+(?P<path>\.[\w.]*)[ \t]+import[ \t]+(?P<what>\([^)]*\)|[^\n;]+)", re.M)
-_USE = re.compile(r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?use\s+(?P<tree>crate::[^;]*);", re.M)
+_USE = re.compile(r"(?:^|[;}])[ \t]*(?P<word>(?:pub(?:\([^)]*\))?\s+)?use)\s+(?P<tree>crate::[^;]*);", re.M)
 _GO_IMPORT = re.compile(r"^import\s*(?:\((?P<many>[^)]*)\)|(?:[\w.]+\s+)?(?P<one>[\"`]_+[\"`]))", re.M)
 
 
@@ -311,22 +312,22 @@ def imports(text: str, ext: str) -> list[Import]:
     code = blanked(text, lang, quotes=lang in ("js", "go"))
     breaks = [m.start() for m in re.finditer("\n", text)]
     line = lambda at: bisect_left(breaks, at) + 1
-    first = lambda m: m.start() + len(m[0]) - len(m[0].lstrip())
     if lang == "js":
         for m in _ESM.finditer(code):
+            at = line(m.start("word"))
             path = text[m.start("path") : m.end("path")]
             if path.startswith("."):
                 head, _, rest = m["what"].partition("{")
                 default = head.split(",")[0].strip()
-                out += [Import("default", path, line(first(m)))] if default and not default.startswith("*") else []
-                out += [Import(n, path, line(first(m))) for n in _names(rest, r"\s+as\s+")] if rest else []
+                out += [Import("default", path, at)] if default and not default.startswith("*") else []
+                out += [Import(n, path, at) for n in _names(rest, r"\s+as\s+")] if rest else []
         for m in _CJS.finditer(code):
             path = text[m.start("path") : m.end("path")]
             out += [Import(re.split(r"\s*=", n)[0], path, line(m.start())) for n in _names(m["what"], ":") if not n.startswith("...")] if path.startswith(".") else []
     elif lang == "python":
         out += [Import(n, m["path"], line(m.start())) for m in _FROM.finditer(code) for n in _names(m["what"], r"\s+as\s+") if n != "*"]
     elif lang == "rust":
-        out += [Import(name, module, line(first(m))) for m in _USE.finditer(code) for module, name in _leaves(m["tree"])]
+        out += [Import(name, module, line(m.start("word"))) for m in _USE.finditer(code) for module, name in _leaves(m["tree"])]
     else:
         for m in _GO_IMPORT.finditer(code):
             group = "many" if m["many"] is not None else "one"

@@ -16,7 +16,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.graph import fan_in
 from quarry.operators.search import FLOOR, K1, B, like, pool_size, rerank, with_position
 
 COLUMNS = ("name", "kind", "signature", "file_path")
@@ -181,4 +180,4 @@ def find(symbols: DataFrame, imports: DataFrame, query: str, limit: int = 20) ->
             raise QueryError("no match")
     except QueryError:
         ranked = with_position(like(symbols, query, limit), F.desc("exported"), "name", "file_path", "line_start")
-    return rerank(ranked, fan_in(imports), limit)
+    return rerank(ranked, imports, limit)

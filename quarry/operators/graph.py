@@ -16,8 +16,13 @@ def importers(imports: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def fan_in(imports: DataFrame) -> DataFrame:
-    """Per imported symbol: importing files, and importing sites (file and line)."""
-    return imports.groupBy("imported_name", "target_path").agg(F.countDistinct("source_file").alias("importer_files"), F.countDistinct("source_file", "line_number").alias("importer_sites"))
+    """Per imported symbol: importing files, and importing sites (file and line).
+
+    Counted per importing file first: one distinct count each time, so rows aren't doubled, and a symbol that
+    everything imports is spread over its files.
+    """
+    each = imports.groupBy("imported_name", "target_path", "source_file").agg(F.countDistinct("line_number").alias("lines"))
+    return each.groupBy("imported_name", "target_path").agg(F.count("source_file").alias("importer_files"), F.sum("lines").alias("importer_sites"))
 
 
 def callers(imports: DataFrame) -> DataFrame:
@@ -25,20 +30,32 @@ def callers(imports: DataFrame) -> DataFrame:
     return imports.groupBy("imported_name", "source_file").agg(F.array_join(F.array_sort(F.collect_list("line_number")), ",").alias("lines"))
 
 
+STRIP = 256
+
+
 def overlapping(symbols: DataFrame, hunks: DataFrame) -> DataFrame:
-    """Symbols that a changed range touches, each once: an equi-join on the file with a range condition."""
-    ranges = hunks.select(F.col("file_path"), "start", "end")
-    return symbols.join(ranges, "file_path").filter("line_start <= end and line_end >= start").select(symbols.columns).dropDuplicates(["name", "file_path", "line_start"])
+    """Symbols that a changed range touches, each once: both are cut into strips of lines, so that a file with many of either isn't all pairs."""
+    strips = lambda a, b: F.explode(F.sequence(F.floor(a / STRIP), F.floor(b / STRIP))).alias("strip")
+    ranges = hunks.filter("start <= end").select("file_path", "start", "end", strips(F.col("start"), F.col("end")))
+    placed = symbols.filter("line_start <= line_end").select("*", strips(F.col("line_start"), F.col("line_end")))
+    return placed.join(ranges, ["file_path", "strip"]).filter("line_start <= end and line_end >= start").select(symbols.columns).dropDuplicates(["name", "file_path", "line_start"])
 
 
 def impact(symbols: DataFrame, hunks: DataFrame, imports: DataFrame) -> DataFrame:
     """Touched symbols with importing sites and risk; symbols that aren't exported have none."""
-    sites = fan_in(imports).select(F.col("imported_name").alias("name"), F.col("target_path").alias("file_path"), "importer_sites")
-    found = overlapping(symbols, hunks).join(sites, ["name", "file_path"], "left")
+    touched = overlapping(symbols, hunks)
+    wanted = touched.filter("exported").select(F.col("name").alias("imported_name"), F.col("file_path").alias("target_path"))
+    used = fan_in(imports.join(wanted, ["imported_name", "target_path"], "left_semi"))
+    found = touched.join(used.select(F.col("imported_name").alias("name"), F.col("target_path").alias("file_path"), "importer_sites"), ["name", "file_path"], "left")
     count = F.when(F.col("exported"), F.coalesce("importer_sites", F.lit(0))).otherwise(F.lit(0))
     return found.select("name", "file_path", "kind", "line_start", "exported", count.alias("importer_count"), classify_risk(count).alias("risk"))
 
 
+def most_imported(impacted: DataFrame, limit: int) -> DataFrame:
+    """The first rows of an impact, by importing sites and then place."""
+    return impacted.orderBy(F.desc("importer_count"), "file_path", "line_start", "name").limit(limit)
+
+
 def affected_files(symbols: DataFrame, hunks: DataFrame, imports: DataFrame) -> DataFrame:
     touched = overlapping(symbols, hunks).filter("exported").select(F.col("name").alias("imported_name"), F.col("file_path").alias("target_path"))
     return imports.join(touched, ["imported_name", "target_path"], "left_semi").select("source_file").distinct()
@@ -58,7 +75,7 @@ def hotspots(imports: DataFrame, top: int = 3, include_unresolved: bool = False)
 
 def owning_root(paths: DataFrame, roots: DataFrame) -> DataFrame:
     """(path, root): the longest root above each path, null without one."""
-    cuts = F.filter(F.split("path", "/"), lambda x: F.lit(True))
+    cuts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(cuts)), lambda i: F.array_join(F.slice(cuts, 1, i), "/"))
     each = paths.select("path", F.explode(above).alias("root")).join(roots.select("root").distinct(), "root")
     best = each.groupBy("path").agg(F.max_by("root", F.length("root")).alias("root"))

@@ -1,4 +1,4 @@
-"""Symbol and text search: exact and qualified lookup, BM25 over postings, LIKE fallback, re-ranking."""
+"""Symbol and text search: exact and qualified lookup, BM25, LIKE fallback, re-ranking."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions.scalars import kind_weight, lower_ascii
+from quarry.operators.graph import fan_in
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 
@@ -23,6 +24,11 @@ def sketch(symbols: DataFrame, name: str) -> DataFrame:
     return symbols.filter((F.col("name") == name) | F.endswith(lower_ascii(F.col("name")), tail)).orderBy(F.desc("exported"), "file_path", "line_start")
 
 
+def entry(files: DataFrame, path: str) -> DataFrame:
+    """The row of one path. Tables of an index are sorted by it, so that other row groups are skipped."""
+    return files.filter(F.col("path") == path).limit(1)
+
+
 def _times(term: str) -> Column:
     return F.size(F.filter("w", lambda w: w == term))
 
@@ -50,9 +56,11 @@ def like(symbols: DataFrame, query: str, limit: int) -> DataFrame:
     return found.orderBy(F.desc("exported"), "name", "file_path", "line_start").limit(pool_size(limit))
 
 
-def rerank(candidates: DataFrame, fan_in: DataFrame, limit: int) -> DataFrame:
-    """By importing files, exported, kind and first position. candidates: symbols with position; at most a pool."""
-    files = fan_in.select(F.col("imported_name").alias("name"), F.col("target_path").alias("file_path"), "importer_files")
+def rerank(candidates: DataFrame, imports: DataFrame, limit: int) -> DataFrame:
+    """By importing files, exported, kind and first position. candidates: symbols with position; at most a pool, so it is broadcast."""
+    wanted = candidates.select(F.col("name").alias("imported_name"), F.col("file_path").alias("target_path")).distinct()
+    used = fan_in(imports.join(F.broadcast(wanted), ["imported_name", "target_path"], "left_semi"))
+    files = used.select(F.col("imported_name").alias("name"), F.col("target_path").alias("file_path"), "importer_files")
     ranked = candidates.join(files, ["name", "file_path"], "left").withColumn("importer_files", F.coalesce("importer_files", F.lit(0)))
     return ranked.orderBy(F.desc("importer_files"), F.desc("exported"), F.desc(kind_weight(F.col("kind"))), "position").limit(limit)
 

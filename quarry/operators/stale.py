@@ -25,7 +25,7 @@ def staleness(current: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def mtime_drift(current: DataFrame, stored: DataFrame) -> DataFrame:
-    c, s = current.select("path", F.col("mtime_ms").alias("now")), stored.filter("mtime_ms is not null").select("path", F.col("mtime_ms").alias("before"))
+    c, s = current.select("path", F.col("mtime_ms").alias("now")), stored_mtimes(stored).withColumnRenamed("mtime_ms", "before")
     return c.join(s, "path", "full_outer").filter("not (now <=> before)").select("path", "now", "before")
 
 
@@ -40,3 +40,7 @@ def delete(stored: DataFrame, paths: DataFrame) -> DataFrame:
 def enrich(parsed: DataFrame, stored: DataFrame) -> DataFrame:
     known = stored.select("path", F.col("content_hash").alias("h"), F.col("mtime_ms").alias("m"))
     return parsed.join(known, "path", "left").withColumns({"content_hash": F.coalesce("h", "content_hash"), "mtime_ms": F.coalesce("m", "mtime_ms")}).drop("h", "m")
+
+
+def stored_mtimes(stored: DataFrame) -> DataFrame:
+    return stored.select("path", "mtime_ms").filter("mtime_ms is not null")

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from quarry.functions import describe, scalars
 from quarry.operators import extract, fulltext, graph, ledger, search, stale
+from quarry.plans import code_queries
 from quarry.plans import relations as R
 from quarry.sources import git, mapfile
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = dict(code_queries.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(code_queries.ORACLE_SQL)
 
 
 def _add(name: str, query: Query, sql: str | None = None) -> None:
@@ -43,6 +44,7 @@ _OVERLAP = f"select distinct s.* from {R.SYMBOLS} s join {R.HUNKS} h on s.file_p
 _add("impact_overlap", lambda s, d: graph.overlapping(R.symbols(s, d), R.hunks(s, d)), _OVERLAP)
 _COUNT = "case when o.exported then coalesce(f.importer_sites, 0) else 0 end"
 _add("impact_risk", lambda s, d: graph.impact(R.symbols(s, d), R.hunks(s, d), R.imports(s, d)), f"select o.name, o.file_path, o.kind, o.line_start, o.exported, {_COUNT} as importer_count, case when {_COUNT} >= 10 then 'CRITICAL' when {_COUNT} >= 5 then 'HIGH' when {_COUNT} >= 2 then 'MEDIUM' else 'LOW' end as risk from ({_OVERLAP}) o left join ({_FAN}) f on f.imported_name = o.name and f.target_path = o.file_path")
+_add("impact_ranked", lambda s, d: graph.most_imported(graph.impact(R.symbols(s, d), R.hunks(s, d), R.imports(s, d)), 30), ORACLE_SQL["impact_risk"] + " order by importer_count desc, file_path, line_start, name limit 30")
 _add("affected_files", lambda s, d: graph.affected_files(R.symbols(s, d), R.hunks(s, d), R.imports(s, d)), f"select distinct i.source_file from {R.IMPORTS} i where exists (select 1 from ({_OVERLAP}) o where o.exported and o.name = i.imported_name and o.file_path = i.target_path)")
 
 _qualified = lambda s, d: R.symbols(s, d).withColumn("name", F.when(F.col("exported"), F.concat("kind", F.lit("::NEW"))).otherwise("new"))
@@ -60,7 +62,7 @@ _WEIGHT = "case when p.kind in ('fn', 'method', 'struct', 'enum', 'trait', 'clas
 
 def _reranked(s: SparkSession, d: str) -> DataFrame:
     pool = search.with_position(search.like(R.symbols(s, d), "1", 20), F.desc("exported"), "name", "file_path", "line_start")
-    return search.rerank(pool, graph.fan_in(R.imports(s, d)), 20).select("name", "file_path", "kind", "exported", "importer_files", "position")
+    return search.rerank(pool, R.imports(s, d), 20).select("name", "file_path", "kind", "exported", "importer_files", "position")
 
 
 _add("find_reranked", _reranked, f"select p.name, p.file_path, p.kind, p.exported, coalesce(f.importer_files, 0) as importer_files, p.position::int as position from (select *, row_number() over (order by exported desc, name, file_path, line_start) - 1 as position from ({_LIKE})) p left join ({_FAN}) f on f.imported_name = p.name and f.target_path = p.file_path order by coalesce(f.importer_files, 0) desc, p.exported desc, {_WEIGHT} desc, p.position limit 20")
@@ -93,9 +95,7 @@ _HEADER = "'@@ -' || l_partkey || ',' || (l_linenumber % 3) || ' +' || l_suppkey
 _header = lambda: F.concat(F.lit("@@ -"), F.col("l_partkey").cast("string"), F.lit(","), (F.col("l_linenumber") % 3).cast("string"), F.lit(" +"), F.col("l_suppkey").cast("string"), F.lit(","), (F.col("l_linenumber") % 2).cast("string"), F.lit(" @@"))
 _add("hunk_header_parse", lambda s, d: R.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", scalars.hunk_range(_header()).alias("r")).select("l_orderkey", "l_linenumber", F.col("r.start").alias("lo"), F.col("r.end").alias("hi")), "select l_orderkey, l_linenumber, case when l_linenumber % 2 > 0 then l_suppkey when l_linenumber % 3 > 0 then l_partkey end as lo, case when l_linenumber % 2 > 0 then l_suppkey when l_linenumber % 3 > 0 then l_partkey + l_linenumber % 3 - 1 end as hi from lineitem")
 _add("html_title", lambda s, d: R.table(s, d, "pages").select("page_id", describe.html_title(F.col("html")).alias("title")), "select page_id, case when regexp_matches(html, '<title>([^<]+)</title>') then trim(regexp_extract(html, '<title>([^<]+)</title>', 1)) else 'HTML document' end as title from pages")
-_add("hook_json_extract", lambda s, d: R.table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k")), "select event_id, json_extract_string(props, '$.k') as k from events")
 _add("project_longest_prefix", lambda s, d: graph.owning_root(R.files(s, d).select("path"), R.files(s, d).select(F.regexp_extract("path", "^(.*)/", 1).alias("root")).union(R.files(s, d).select(F.col("lang").alias("root"))).filter(~F.endswith("root", F.lit("3"))).distinct()), f"select path, case when regexp_extract(path, '^(.*)/', 1) like '%3' then regexp_extract(path, '^([^/]*)/', 1) else regexp_extract(path, '^(.*)/', 1) end as root from {R.FILES}")
-_add("line_explode", lambda s, d: R.table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "content")).select("doc_id", (F.col("line") + 1).alias("line"), F.length("content").alias("chars")), "select doc_id, generate_subscripts(l, 1)::int as line, length(unnest(l))::int as chars from (select doc_id, string_split(text, chr(10)) as l from documents)")
 
 _name = lambda: F.regexp_extract("path", "([^/]*)$", 1)
 _add("describe_files", lambda s, d: R.files(s, d).select("path", describe.describe(_name(), F.col("ext"), F.col("text")).alias("description")), f"select path, case ext when 'md' then case when regexp_matches(text, '(^|\\n)# ') then trim(regexp_extract(text, '(^|\\n)# ([^\\n]*)', 2)) else 'markdown document' end when 'json' then 'JSON data' else ext || ' source file' end as description from {R.FILES}")

@@ -63,6 +63,22 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return parse(_maps(spark, path))
 
 
+def find(folder: str, path: str) -> dict | None:
+    """One file's entry from the map in a folder, read by the driver line by line."""
+    wanted, section = os.path.split(path), None
+    try:
+        with open(os.path.join(folder, NAME), encoding="utf-8") as f:
+            for line in f:
+                if line.startswith("## "):
+                    section = line[3:].strip().rstrip("/")
+                elif section == (wanted[0] or ".") and (m := re.match(r"- `([^`]*)`(?: (?:—|-) )?(.*)$", line)) and m[1] == wanted[1]:
+                    tail = re.fullmatch(r"(.*)\(~(\d+) tok(?:, (\w+))?\)", m[2])
+                    return {"path": path, "description": (tail[1] if tail else m[2]).strip(), "token_estimate": int(tail[2]) if tail else 0, "density": LABEL_DENSITY.get(tail[3]) if tail else None}
+    except OSError:
+        pass
+    return None
+
+
 def header(text: Column) -> Column:
     """struct<generated_at, file_count> from the first five lines; null if any part is malformed."""
     top = F.array_join(F.slice(F.split(text, "\n"), 1, 5), "\n")
