@@ -7,10 +7,11 @@ before (trigram) and the one before the last alone (skip). Frequent words are al
 predicts the word itself; within a class, words keep their share of its smoothed counts. Without weights the model
 is the unigram base.
 
-Weights are trained by ROUNDS gradient updates. In each, every task adds up slopes and curvatures over its share of
-all training texts at the same weights; the sums over all tasks make one damped Newton step per weight. So scores
-don't depend on how rows are dealt to tasks, but for the rounding of the sums (about 1e-6 of a score). The table has
-two to four weights for each training token, from 2^MIN_BITS up to 2^MAX_BITS, as each task holds it.
+Weights are trained by UPDATES gradient updates, each over the training texts of one part by hash, so that all are
+learned from once. In an update, every task adds up slopes and curvatures over its share at the same weights; the sums
+over all tasks make one damped Newton step per weight, with the curvatures of all updates so far. So scores don't depend
+on how rows are dealt to tasks, but for the rounding of the sums (about 1e-6 of a score). The table has two to four
+weights for each training token, from 2^MIN_BITS up to 2^MAX_BITS, as each task holds it.
 
 Words are known by a 64-bit hash. The FREQUENT commonest go to each task as a table; the others are joined, so
 the counts that apply are exact whatever the size of the vocabulary; rarer words share the last classes by hash. Null
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from quarry.llm.hashing import U, Words, mixed, word_chunks
 from quarry.llm.shared import keep_only, remainder, scratch, written
 
-DEPTH, MIN_BITS, MAX_BITS, FREQUENT, ROUNDS, RATE, RIDGE, PART = 10, 14, 22, 1 << 19, 2, 0.7, 3.0, 1 << 14
+DEPTH, MIN_BITS, MAX_BITS, FREQUENT, UPDATES, RATE, RIDGE, PART, TASK_TOKENS = 12, 14, 22, 1 << 19, 2, 0.8, 3.0, 1 << 14, 1 << 22
 ALPHA, BLOCK, MOST = 0.1, 1 << 16, 12.0
 END, BEGIN = 0x5851F42D4C957F2D, 0x14057B7EF767814F
 _SALTS = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -110,17 +111,16 @@ def _choices(classes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return nodes, (own >> (np.uint32(depth - 1) - level)) & np.uint32(1)
 
 
-def _margins(weights: np.ndarray, odds: np.ndarray, features: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The log-odds of the second half at the nodes, and where the weights that they add up stand."""
-    shift = np.uint32(33 - len(weights).bit_length())
-    slots = (((features[:, None, :] ^ (nodes * _NODE)[None]) * _SPREAD) >> shift).astype(np.intp)
-    return odds[nodes] + weights[slots].sum(0), slots
+def _slots(features: np.ndarray, nodes: np.ndarray, size: int) -> np.ndarray:
+    """Where the weights of each feature at the nodes stand: (features, depth, tokens)."""
+    shift = np.uint32(33 - size.bit_length())
+    return (((features[:, None, :] ^ (nodes * _NODE)[None]) * _SPREAD) >> shift).astype(np.intp)
 
 
 def log_choices(weights: np.ndarray, odds: np.ndarray, features: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """The natural log of each class's probability."""
     nodes, second = _choices(classes, len(odds).bit_length() - 1)
-    z, _ = _margins(weights, odds, features, nodes)
+    z = odds[nodes] + weights[_slots(features, nodes, len(weights))].sum(0)
     z *= 1 - 2 * second.astype(np.float32)
     return -(np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))).sum(0, dtype=np.float64)
 
@@ -130,21 +130,22 @@ class Slopes:
 
     def __init__(self, weights: np.ndarray, odds: np.ndarray) -> None:
         self.weights, self.odds = weights, odds
-        self.slope, self.curve = np.zeros(len(weights)), np.zeros(len(weights))
+        self.slope, self.curve = np.zeros(len(weights), np.float32), np.zeros(len(weights), np.float32)
 
     def add(self, features: np.ndarray, classes: np.ndarray) -> None:
         nodes, second = _choices(classes, len(self.odds).bit_length() - 1)
-        z, slots = _margins(self.weights, self.odds, features, nodes)
-        p = 1 / (1 + np.exp(-z))
-        g, h = (second - p).astype(float).ravel(), (p * (1 - p)).astype(float).ravel()
+        slots = _slots(features, nodes, len(self.weights))
+        z = self.odds[nodes] + self.weights[slots].sum(0)
+        p = 1 / (1 + np.exp(-z, dtype=np.float32))
+        g, h = (second - p).astype(np.float32).ravel(), (p * (1 - p)).ravel()
         for s in slots.reshape(len(slots), -1):
             np.add.at(self.slope, s, g)
             np.add.at(self.curve, s, h)
 
 
-def newton(weights: np.ndarray, slope: np.ndarray, curve: np.ndarray) -> np.ndarray:
-    """One damped step per weight: several features of a token move at once."""
-    return (weights + RATE * (slope - RIDGE * weights) / (curve + RIDGE)).astype(np.float32)
+def newton(weights: np.ndarray, slope: np.ndarray, curve: np.ndarray, share: float = 1.0) -> np.ndarray:
+    """One damped step: several features of a token move at once. curve: of all updates so far; share: this update's part of the rows."""
+    return (weights + RATE * np.where(curve > 0, slope - share * RIDGE * weights, 0) / (curve + RIDGE)).astype(np.float32)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -205,7 +206,7 @@ def least_count(counts: DataFrame, frequent: int) -> int:
         shift -= 10
 
 
-def score(docs: DataFrame, folds: int = 10, held: int = 0, frequent: int = FREQUENT, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, folds: int = 10, held: int = 0, frequent: int = FREQUENT, updates: int = UPDATES) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the text)."""
     spark, folder = docs.sparkSession, scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -223,8 +224,12 @@ def score(docs: DataFrame, folds: int = 10, held: int = 0, frequent: int = FREQU
     classes.add_rest(masses.column("class").to_numpy(), masses.column("mass").to_numpy())
     odds, table = classes.odds(), spark.sparkContext.broadcast(classes)
     weights = np.zeros(1 << min(max(int(all_n).bit_length() + 1, MIN_BITS), MAX_BITS), np.float32)
-    for step in range(rounds):
+    # a task gives its table back, so it takes enough texts for that to be little
+    tasks = max(spark.sparkContext.defaultParallelism, -(-int(all_n) // TASK_TOKENS))
+    curve = np.zeros(len(weights))
+    for step in range(updates):
         start = spark.sparkContext.broadcast((weights, odds))
+        rows = train.filter(F.pmod(F.xxhash64("text"), F.lit(updates)) == step)
 
         def learned(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
             sums = Slopes(*start.value)
@@ -236,11 +241,12 @@ def score(docs: DataFrame, folds: int = 10, held: int = 0, frequent: int = FREQU
                     yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "slope": pa.array([g.tobytes()], pa.binary()), "curve": pa.array([h.tobytes()], pa.binary())})
 
         kinds = "block int, slope binary, curve binary"
-        blocks = train.mapInArrow(learned, kinds).repartition("block").sortWithinPartitions("block", "slope").mapInArrow(_added, kinds)
-        slope, curve = np.zeros(len(weights)), np.zeros(len(weights))
+        blocks = rows.coalesce(tasks).mapInArrow(learned, kinds).repartition("block").sortWithinPartitions("block", "slope").mapInArrow(_added, kinds)
+        slope = np.zeros(len(weights))
         for r in written(blocks, folder, f"slopes{step}").toLocalIterator():
-            slope[r.block : r.block + BLOCK], curve[r.block : r.block + BLOCK] = np.frombuffer(r.slope), np.frombuffer(r.curve)
-        weights = newton(weights, slope, curve)
+            slope[r.block : r.block + BLOCK] = np.frombuffer(r.slope)
+            curve[r.block : r.block + BLOCK] += np.frombuffer(r.curve)
+        weights = newton(weights, slope, curve, 1 / updates)
     final = spark.sparkContext.broadcast((weights, odds))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
