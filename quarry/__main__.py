@@ -72,7 +72,7 @@ def sketch(a: argparse.Namespace) -> int:
 
 def find(a: argparse.Namespace) -> int:
     folder, spark = projects.required(_root(a.context)), session()
-    found = fulltext.find(build.load(spark, folder, "symbols"), build.load(spark, folder, "imports"), a.query, a.limit).collect()
+    found = fulltext.find(build.load(spark, folder, "symbols"), build.load(spark, folder, "imports"), a.query, a.limit, build.term_index(folder)).collect()
     for r in found:
         print(f"  {r.kind:6}  {r.name:<30}  {r.file_path}:{r.line_start}")
     if not found:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 _C_LIKE = r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\])*(?:\"|\Z)"
 _JS_REGEX = r"(?:(?<=[(,=:\[!&|?{};\n>])|(?<=return)|(?<=typeof)|\A)[ \t]*/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*"
@@ -278,6 +278,7 @@ def symbols(text: str, ext: str) -> list[Symbol]:
     return out
 
 
+_EXPORTS = re.compile(r"^export\s*(?:type\s*)?\{([^}]*)\}|^module\.exports\s*=\s*(?:\{([^}]*)\}|([\w$]+)\s*;?\s*$)", re.M)
 _ESM = re.compile(r"(?:^|;)[ \t]*(?P<word>import)\s+(?:type\s+)?(?P<what>[^;'\"]*?)\s*from\s*['\"](?P<path>_+)['\"]", re.M)
 _CJS = re.compile(r"^(?:const|let|var)\s*\{(?P<what>[^}]*)\}\s*=\s*require\(\s*['\"](?P<path>_+)['\"]\s*\)", re.M)
 _FROM = re.compile(r"^from[ \t]+(?P<path>\.[\w.]*)[ \t]+import[ \t]+(?P<what>\([^)]*\)|[^\n;]+)", re.M)
@@ -304,6 +305,22 @@ def _leaves(tree: str, module: str = "") -> list[tuple[str, str]]:
     return [leaf for a, b in _parts(inner, 0, len(inner)) for leaf in _leaves(inner[a:b], module)]
 
 
+def exported_names(text: str) -> set[str]:
+    """Names in export clauses and in what module.exports is set to."""
+    out: set[str] = set()
+    for m in _EXPORTS.finditer(blanked(text, "js")):
+        for part in (m[1] or m[2] or m[3] or "").split(","):
+            name = re.split(r"\s+as\s+|:", part.strip().removeprefix("type "))[0].strip()
+            out |= {name} if re.fullmatch(r"[\w$]+", name) else set()
+    return out
+
+
+def with_export_clauses(found: list[Symbol], text: str) -> list[Symbol]:
+    """JS symbols where names in export clauses count as exported, and with a class its methods."""
+    named = exported_names(text)
+    return [replace(s, exported=s.exported or s.name.split("::")[0] in named) for s in found]
+
+
 def imports(text: str, ext: str) -> list[Import]:
     """Original names of relative (JS, Python), crate (Rust) and all (Go) imports; comments and strings hold none."""
     lang, out = LANGUAGES.get(ext), []

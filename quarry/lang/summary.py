@@ -8,23 +8,12 @@ from quarry.lang import reader
 
 COLLECTED, SHOWN = 30, 8
 _COMPONENT = ("HTMLElement", "LitElement", "customElement")
-_EXPORTS = re.compile(r"^export\s*(?:type\s*)?\{([^}]*)\}|^module\.exports\s*=\s*(?:\{([^}]*)\}|([\w$]+)\s*;?\s*$)", re.M)
 _DEFAULT = re.compile(r"^export\s+default\s+(?:(?P<fn>(?:async\s+)?(?:function\b|\([^)]*\)\s*=>|[\w$]+\s*=>))|(?P<class>class\b)|(?P<object>\{)|(?P<call>[\w$.]+)\s*\(|(?P<name>[\w$]+)\s*;?\s*$)", re.M)
 _FIRST_TYPE = re.compile(r"(?:<(?:[^<>]|<[^<>]*>)*>)?\s*!?\s*(?:\w+::)*(\w+)")
 
 
-def exported_names(text: str) -> set[str]:
-    """Names in export clauses and in what module.exports is set to."""
-    out: set[str] = set()
-    for m in _EXPORTS.finditer(reader.blanked(text, "js")):
-        for part in (m[1] or m[2] or m[3] or "").split(","):
-            name = re.split(r"\s+as\s+|:", part.strip().removeprefix("type "))[0].strip()
-            out |= {name} if re.fullmatch(r"[\w$]+", name) else set()
-    return out
-
-
 def _javascript(text: str) -> list[tuple[str, bool]]:
-    named, out, lines = exported_names(text), [], text.split("\n")
+    named, out, lines = reader.exported_names(text), [], text.split("\n")
     code = reader.blanked(text, "js")
     for s in reader.symbols(text, "ts"):
         if s.kind == "method":

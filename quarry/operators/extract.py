@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,7 +29,7 @@ def gzip_density(content: pd.Series) -> pd.Series:
     return content.map(lambda t: density((t or "").encode()))
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _parse(batches: Iterator[pd.DataFrame], resolve_export_clauses: bool = False) -> Iterator[pd.DataFrame]:
     from quarry.lang import reader
     from quarry.lang.summary import summary
 
@@ -37,17 +38,20 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path, content in zip(batch["path"], batch["content"], strict=True):
             name, text = path.rsplit("/", 1)[-1], content or ""
             ext = name.rsplit(".", 1)[-1]
-            found = [{k: v for k, v in vars(s).items() if k != "word"} for s in reader.symbols(text, ext)]
+            declared = reader.symbols(text, ext)
+            if resolve_export_clauses and reader.LANGUAGES.get(ext) == "js":
+                declared = reader.with_export_clauses(declared, text)
+            found = [{k: v for k, v in vars(s).items() if k != "word"} for s in declared]
             used = [{"imported_name": i.name, "raw_path": i.raw_path, "line_number": i.line, "candidates": reader.candidates(i.raw_path, path, ext)} for i in reader.imports(text, ext)]
             rows.append((summary(text, ext), density(text.encode()), found, used))
         read = pd.DataFrame(rows, columns=["declared", "density", "symbols", "imports"], index=batch.index)
         yield pd.concat([batch.drop(columns="content"), read], axis=1)
 
 
-def parsed(files: DataFrame) -> DataFrame:
-    """The files without their content, with declared, density and the arrays symbols and imports; write it, as several tables come from it."""
+def parsed(files: DataFrame, resolve_export_clauses: bool = False) -> DataFrame:
+    """The files without their content, with declared, density and the arrays symbols and imports; write it, as several tables come from it. resolve_export_clauses: names in JS export clauses count as exported."""
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name != "content")
-    return files.mapInPandas(_parse, f"{kept}, declared string, density double, symbols array<{_SYMBOL}>, imports array<{_IMPORT}>")
+    return files.mapInPandas(partial(_parse, resolve_export_clauses=resolve_export_clauses), f"{kept}, declared string, density double, symbols array<{_SYMBOL}>, imports array<{_IMPORT}>")
 
 
 def symbols(parsed_files: DataFrame) -> DataFrame:

@@ -29,14 +29,18 @@ def entry(files: DataFrame, path: str) -> DataFrame:
     return files.filter(F.col("path") == path).limit(1)
 
 
+def plain_words(text: Column) -> Column:
+    """Lower-case words of letters and digits, accents kept."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
+
+
 def _times(term: str) -> Column:
     return F.size(F.filter("w", lambda w: w == term))
 
 
 def bm25(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text", match_all: bool = True, limit: int = 20) -> DataFrame:
-    """(id, score): the best documents; score is higher for better. Terms are lower-case alphanumeric words."""
-    words = F.filter(F.split(F.lower(F.coalesce(text_col, F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
-    counted = docs.select(id_col, words.alias("w")).select(id_col, F.size("w").alias("length"), *(_times(t).alias(f"tf{i}") for i, t in enumerate(terms)))
+    """(id, score): the best documents, by reading them all; fulltext.build makes an index. Score is higher for better. Terms are lower-case alphanumeric words."""
+    counted = docs.select(id_col, plain_words(F.col(text_col)).alias("w")).select(id_col, F.size("w").alias("length"), *(_times(t).alias(f"tf{i}") for i, t in enumerate(terms)))
     stats = counted.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"n{i}") for i in range(len(terms)))).first()
     score = F.lit(0.0)
     for i in range(len(terms)):

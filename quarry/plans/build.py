@@ -15,10 +15,17 @@ from pyspark.sql import functions as F
 
 from quarry.functions.describe import describe, known_label
 from quarry.functions.scalars import estimate_tokens, extension
-from quarry.operators import extract, graph
+from quarry.operators import extract, fulltext, graph
 from quarry.sources import mapfile, projects, tree
 
 POINTER = "CURRENT"
+SCHEMAS = {
+    "files": "path string, description string, token_estimate bigint, density double, content_hash bigint, mtime_ms bigint",
+    "symbols": "id bigint, file_path string, ord int, name string, kind string, signature string, line_start bigint, line_end bigint, exported boolean",
+    "imports": "source_file string, imported_name string, target_path string, raw_path string, line_number bigint",
+    "listing": "path string, size bigint, mtime_ms bigint",
+}
+"""What tables are read as: columns that an older index doesn't have come as null."""
 
 
 def described(files: DataFrame) -> DataFrame:
@@ -64,7 +71,13 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     version = current(folder)
     if version is None:
         raise FileNotFoundError(f"no index in {folder}; run: quarry scan")
-    return spark.read.parquet(os.path.join(version, name))
+    return spark.read.schema(SCHEMAS[name]).parquet(os.path.join(version, name))
+
+
+def term_index(folder: str) -> str | None:
+    """The full-text index of the symbols; an index of before there was one has none."""
+    path = os.path.join(current(folder) or folder, "terms")
+    return path if os.path.isdir(path) else None
 
 
 def read_architecture(folder: str) -> dict | None:
@@ -88,9 +101,10 @@ def scan(spark: SparkSession, root: str) -> dict[str, int]:
     parsed(spark, root).write.parquet(at("parsed"))
     read = spark.read.parquet(at("parsed"))
     entries(read).orderBy("path").write.parquet(at("files"))
-    extract.symbols(read).write.parquet(at("symbols"))
+    extract.symbols(read).withColumn("id", F.monotonically_increasing_id()).write.parquet(at("symbols"))
     extract.imports(read, spark.read.parquet(at("listing"))).write.parquet(at("imports"))
     files, symbols, imports = (spark.read.parquet(at(n)) for n in ("files", "symbols", "imports"))
+    fulltext.build(symbols, "id", at("terms"))
     summary = architecture(files, imports)
     with open(at("architecture.json"), "w", encoding="utf-8") as f:
         json.dump(summary, f)

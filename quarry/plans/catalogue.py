@@ -50,12 +50,27 @@ _add("affected_files", lambda s, d: graph.affected_files(R.symbols(s, d), R.hunk
 _qualified = lambda s, d: R.symbols(s, d).withColumn("name", F.when(F.col("exported"), F.concat("kind", F.lit("::NEW"))).otherwise("new"))
 _QUALIFIED = f"(select * replace (case when exported then kind || '::NEW' else 'new' end as name) from {R.SYMBOLS})"
 _add("sketch_lookup", lambda s, d: search.sketch(_qualified(s, d), "new"), f"select * from {_QUALIFIED} where name = 'new' or lower(name) like '%::new'")
+_indexes: dict[tuple, str] = {}
+
+
+def _find_bm25(s: SparkSession, d: str) -> DataFrame:
+    """By the index of the texts, which is written when they are first asked for or have changed since."""
+    docs = R.table(s, d, "documents")
+    stamp = (d, docs.agg(F.max("_metadata.file_modification_time")).first()[0], id(s))
+    if stamp not in _indexes:
+        _indexes[stamp] = code_queries.folder(s)
+        fulltext.build(docs, "doc_id", _indexes[stamp], ("text",), search.plain_words)
+    found = fulltext.match_indexed(s, _indexes[stamp], "the OR est", 20, ("text",))
+    return found.select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 _WORDS = "[x for x in regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+') if x <> '']"
-_add("find_bm25", lambda s, d: search.bm25(R.table(s, d, "documents"), ["the", "est"], match_all=False).select("doc_id", F.round("score", 6).alias("score")), f"""
+_add("find_bm25", _find_bm25, f"""
 with w as (select doc_id, {_WORDS} as w from documents), c as (select doc_id, len(w) as n, len([x for x in w if x = 'the']) as t0, len([x for x in w if x = 'est']) as t1 from w),
 s as (select count(*) as docs, avg(n) as mean, count(*) filter (t0 > 0) as n0, count(*) filter (t1 > 0) as n1 from c)
 select doc_id, round(greatest(ln((docs - n0 + 0.5) / (n0 + 0.5)), 1e-6) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * n / mean)) + greatest(ln((docs - n1 + 0.5) / (n1 + 0.5)), 1e-6) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * n / mean)), 6) as score
 from c, s where t0 > 0 or t1 > 0 order by greatest(ln((docs - n0 + 0.5) / (n0 + 0.5)), 1e-6) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * n / mean)) + greatest(ln((docs - n1 + 0.5) / (n1 + 0.5)), 1e-6) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * n / mean)) desc, doc_id limit 20""")
+_add("find_bm25_scan", lambda s, d: search.bm25(R.table(s, d, "documents"), ["the", "est"], match_all=False).select("doc_id", F.round("score", 6).alias("score")), ORACLE_SQL["find_bm25"])
 _LIKE = f"select * from {R.SYMBOLS} where lower(name) like '%1%' or lower(signature) like '%1%' order by exported desc, name, file_path, line_start limit 60"
 _add("find_like_fallback", lambda s, d: search.like(R.symbols(s, d), "1", 20), _LIKE)
 _WEIGHT = "case when p.kind in ('fn', 'method', 'struct', 'enum', 'trait', 'class', 'type', 'interface') then 2 when p.kind in ('const', 'static', 'var', 'let') then 1 else 0 end"

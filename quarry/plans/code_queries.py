@@ -150,6 +150,11 @@ def _code(name: str) -> None:
 for _name in _CODE:
     _code(_name)
 
+_CLAUSES = "const a{k} = 1;\nfunction b() { }\nclass C { m() { } }\nconst d = 2;\nexport { a{k}, b as e };\nmodule.exports = { C };\n"
+_CLAUSE_ROWS = [("w/x{k}.js", "a{k}", True), ("w/x{k}.js", "b", True), ("w/x{k}.js", "C", True), ("w/x{k}.js", "C::m", True), ("w/x{k}.js", "d", False)]
+_CLAUSE = {"file_path": "text", "name": "text", "exported": "boolean"}
+_add("extract_symbols_export_clauses", lambda s, d: extract.symbols(extract.parsed(_sources(s, d, "w/x{k}.js", _CLAUSES), resolve_export_clauses=True)).select(*_CLAUSE), _expected("part", "p_partkey", _CLAUSE, _CLAUSE_ROWS))
+
 # sources with their imports, the files that are there, and what each import means
 _EDGES = [
     ("web/a/m{k}.ts", "import {p} from './t{k}'; import {q} from '../d{k}';\nimport {r} from './t{k}.js'\nimport {s} from './none'\n", [("p", "web/a/t{k}.tsx"), ("q", "web/d{k}/index.js"), ("r", "web/a/t{k}.js"), ("s", "")]),
@@ -221,7 +226,8 @@ select event_id, '{"hookSpecificOutput":{"hookEventName":"PreToolUse"' || case w
 _add("unquote", lambda s, d: R.table(s, d, "supplier").select("s_suppkey", scalars.unquote(F.concat(F.lit("`'\""), F.col("s_name"), F.lit("\"'"))).alias("text")), "select s_suppkey, trim(s_name, '''\"`') as text from supplier")
 
 
-def _folder(spark: SparkSession) -> str:
+def folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -232,10 +238,10 @@ def _folder(spark: SparkSession) -> str:
 
 def _appended(spark: SparkSession, d: str) -> DataFrame:
     """Two appends to a log on disk, read back."""
-    folder, rows = _folder(spark), R.events(spark, d)
+    path, rows = folder(spark), R.events(spark, d)
     for half in (0, 1):
-        ledger.append(rows.filter(F.pmod("id", F.lit(2)) == half), folder)
-    return spark.read.parquet(folder).drop("day")
+        ledger.append(rows.filter(F.pmod("id", F.lit(2)) == half), path)
+    return spark.read.parquet(path).drop("day")
 
 
 _add("ledger_append", _appended, f"select * from {R.EVENTS}")
@@ -247,7 +253,7 @@ _FIXED = [("src/core.rs", "pub struct Item;\nimpl Item { pub fn new() -> Self {
 
 def _scanned(spark: SparkSession, d: str) -> str:
     """The folder of an index over the tree of all nations."""
-    root = _folder(spark)
+    root = folder(spark)
     keys = [r.n_nationkey for r in R.table(spark, d, "nation").select("n_nationkey").toLocalIterator()]
     for path, text in [*_FIXED, *((p.replace("{k}", str(k)), t.replace("{k}", str(k))) for p, t in _TREE for k in keys)]:
         os.makedirs(os.path.dirname(f"{root}/{path}"), exist_ok=True)

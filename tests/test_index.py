@@ -80,7 +80,7 @@ def test_summary():
 SYMBOLS = [("process_data", "fn", "pub fn process_data(x: u8)", "src/core.rs"), ("Process", "struct", "struct Process", "src/process.rs"), ("écrire", "fn", "fn ecrire map write map", "src/map.rs"), ("map", "mod", "mod map", "src/lib.rs"), ("other", "const", "const other", "tests/map.rs")]
 
 
-@pytest.mark.parametrize("query", ["process", "process data", '"write map"', "write_map", "name:map", "fn OR mod", "proc*", "fn NOT src", "(struct OR const) AND map", "ecrire", "name:(map OR other)", "absent", "Foo::new", "a-b", "foo(", '"', "src/map.rs", "", "AND", "kin:x"])
+@pytest.mark.parametrize("query", ["process", "process data", '"write map"', "write_map", "name:map", "fn OR mod", "proc*", "fn NOT src", "(struct OR const) AND map", "ecrire", "name:(map OR other)", "absent", "Foo::new", "a-b", "foo(", '"', "src/map.rs", "", "AND", "kin:x", "^process", "^ process", "name:^map", "NEAR(fn map)", "NEAR(fn map, 1)", "NEAR(pub data, 0) OR other", "NEAR(fn)", "NEAR(fn, x)", "NEAR()", 'NEAR("write map" fn, 2)', "signature:NEAR(fn map, 1)", "near"])
 def test_fulltext_like_fts5(spark, query):
     con = sqlite3.connect(":memory:")
     con.execute("create virtual table t using fts5(name, kind, signature, file_path)")
@@ -95,6 +95,26 @@ def test_fulltext_like_fts5(spark, query):
     assert {r.name: round(r.score, 6) for r in fulltext.match(df, query, ("name",), None).collect()} == want
 
 
+def test_indexed_fulltext_like_fts5(spark, tmp_path):
+    """A random table, by index and without one: the same rows and scores as FTS5's."""
+    import random
+
+    r = random.Random(7)
+    text = lambda n: " ".join(r.choice(["ab", "abc", "b", "cc", "Dé", "x_y"]) for _ in range(r.randrange(n)))
+    rows = [(i, text(4), text(2), text(14), text(6)) for i in range(60)]
+    con = sqlite3.connect(":memory:")
+    con.execute("create virtual table t using fts5(name, kind, signature, file_path)")
+    con.executemany("insert into t values (?, ?, ?, ?)", [x[1:] for x in rows])
+    df = spark.createDataFrame(rows, "id long, name string, kind string, signature string, file_path string").repartition(3)
+    fulltext.build(df, "id", str(tmp_path / "index"))
+    for query in ("ab", "ab cc", "ab*", "cc OR x_y", '"ab cc"', '"b a"*', "^ab", "^ab OR name:b", "NEAR(ab cc, 1)", "NEAR(ab b cc, 2)", "NEAR(de cc, 0) NOT b", 'NEAR("ab b" x, 3)', "signature:NEAR(ab* cc)", "absent", "de AND (b OR cc)"):
+        want = {i - 1: round(-s, 6) for i, s in con.execute("select rowid, rank from t where t match ?", (query,))}
+        assert {x.key: round(x.score, 6) for x in fulltext.match_indexed(spark, str(tmp_path / "index"), query, None).collect()} == want, query
+        assert {x.id: round(x.score, 6) for x in fulltext.match(df, query, ("id",), None).collect()} == want, query
+    best = fulltext.match_indexed(spark, str(tmp_path / "index"), "cc", 5)
+    assert best.count() == 5 and "Scan" in (plan := best._jdf.queryExecution().toString()) and "EqualTo(term,cc)" in plan
+
+
 def test_projects(tmp_path):
     for name in ("b/.git", "a/.git", "a/src", "plain"):
         (tmp_path / name).mkdir(parents=True)
