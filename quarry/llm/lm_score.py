@@ -243,9 +243,10 @@ def score(docs: DataFrame, folds: int = 10, held: int = 0, frequent: int = FREQU
         kinds = "block int, slope binary, curve binary"
         blocks = rows.coalesce(tasks).mapInArrow(learned, kinds).repartition("block").sortWithinPartitions("block", "slope").mapInArrow(_added, kinds)
         slope = np.zeros(len(weights))
-        for r in written(blocks, folder, f"slopes{step}").toLocalIterator():
-            slope[r.block : r.block + BLOCK] = np.frombuffer(r.slope)
-            curve[r.block : r.block + BLOCK] += np.frombuffer(r.curve)
+        for r in written(blocks, folder, f"slopes{step}").toArrow().to_pylist():  # as many as the table has weights
+            at = slice(r["block"], r["block"] + BLOCK)
+            slope[at] = np.frombuffer(r["slope"])
+            curve[at] += np.frombuffer(r["curve"])
         weights = newton(weights, slope, curve, 1 / updates)
     final = spark.sparkContext.broadcast((weights, odds))
 
