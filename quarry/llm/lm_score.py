@@ -10,8 +10,8 @@ is the unigram base.
 Weights are trained by UPDATES gradient updates, each over the training texts of one part by hash, so that all are
 learned from once. In an update, every task adds up slopes and curvatures over its share at the same weights; the sums
 over all tasks make one damped Newton step per weight, with the curvatures of all updates so far. So scores don't depend
-on how rows are dealt to tasks, but for the rounding of the sums (about 1e-6 of a score). The table has two to four
-weights for each training token, from 2^MIN_BITS up to 2^MAX_BITS, as each task holds it.
+on how rows are dealt to tasks, but for the rounding of the sums (about 1e-6 of a score). The table has 16 to 32 weights
+for each training token, from 2^MIN_BITS up to 2^MAX_BITS, as each task holds it.
 
 Words are known by a 64-bit hash. The FREQUENT commonest go to each task as a table; the others are joined, so
 the counts that apply are exact whatever the size of the vocabulary; rarer words share the last classes by hash. Null
@@ -223,7 +223,7 @@ def score(docs: DataFrame, folds: int = 10, held: int = 0, frequent: int = FREQU
     masses = counts.filter(F.col("n") < least).groupBy(rest.alias("class")).agg(F.sum(F.col("n") + ALPHA).alias("mass")).toArrow()
     classes.add_rest(masses.column("class").to_numpy(), masses.column("mass").to_numpy())
     odds, table = classes.odds(), spark.sparkContext.broadcast(classes)
-    weights = np.zeros(1 << min(max(int(all_n).bit_length() + 1, MIN_BITS), MAX_BITS), np.float32)
+    weights = np.zeros(1 << min(max(int(all_n).bit_length() + 4, MIN_BITS), MAX_BITS), np.float32)
     # a task gives its table back, so it takes enough texts for that to be little
     tasks = max(spark.sparkContext.defaultParallelism, -(-int(all_n) // TASK_TOKENS))
     curve = np.zeros(len(weights))

@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm.hashing import windows, word_chunks
 from quarry.llm.shared import remainder, scratch, written
@@ -193,8 +194,8 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
     spark, folder = docs.sparkSession, scratch(docs.sparkSession)
     kept = F.struct(*keep) if keep else F.lit(None).cast("int")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), kept.alias("input"))
-    kind = docs.schema["input"].dataType.simpleString()
-    found = written(docs.mapInArrow(_emit_features, f"doc_id long, input {kind}, x array<float>"), folder, "features")
+    own = T.StructType([docs.schema["doc_id"], docs.schema["input"]])
+    found = written(docs.mapInArrow(_emit_features, T.StructType([*own, T.StructField("x", T.ArrayType(T.FloatType()))])), folder, "features")
     known = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("y")).filter("y is not null and doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     learned = known.filter(remainder(F.col("doc_id"), folds) != held).join(found.filter("doc_id is not null"), "doc_id")
     rows = learned.select("x", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).collect()
@@ -206,6 +207,6 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
             x = np.asarray(batch.column("x").flatten(), float).reshape(batch.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "input": batch.column("input"), "score": pa.array(model.value.score(x))})
 
-    out = found.mapInArrow(scored, f"doc_id long, input {kind}, score double")
+    out = found.mapInArrow(scored, T.StructType([*own, T.StructField("score", T.DoubleType())]))
     held_out = F.coalesce(remainder(F.col("doc_id"), folds) == held, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *([F.col("input")] if keep else []))
