@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from quarry.llm.hashing import U, mixed, windows, word_chunks
 from quarry.llm.shared import dropped, keep_only, numbered, scratch, written
 
-CHUNKS, WIDTH, ROUNDS, FEW, RARE = 10, 5, 1, 2, 8
+CHUNKS, WIDTH, ROUNDS, RARE = 10, 5, 1, 8
 SYMBOLS = CHUNKS * WIDTH
 DISTANCE = 2 * CHUNKS - 1
 LOOSE_DISTANCE = 25
@@ -181,15 +181,15 @@ def _order(doc_id: str, row: str):
     return F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.col(row))
 
 
-def contracted(edges: DataFrame, folder: str, name: str, steps: int | None = None) -> DataFrame:
-    """Edges (a, b), b the smaller, that connect what the undirected edges (a, b) connect: after all steps, every a with the smallest id reachable.
+def contracted(edges: DataFrame, folder: str, name: str) -> DataFrame:
+    """Edges (a, b) from every id a of the undirected edges (a, b) to the smallest id reachable.
 
-    Alternates large-star and small-star steps, each one aggregation and one join, until no edge changes, or `steps` times.
+    Alternates large-star and small-star steps, each one aggregation and one join, until no edge changes.
     """
     spark = edges.sparkSession
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), folder, f"{name}-0")
     before, step = None, 0
-    while step != steps:
+    while True:
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("a"), F.col("low").alias("b")).distinct()
@@ -198,18 +198,15 @@ def contracted(edges: DataFrame, folder: str, name: str, steps: int | None = Non
         step += 1
         edges = written(small.select("e.a", "e.b").filter("a <> b").distinct(), folder, f"{name}-{step}")
         dropped(spark, f"{folder}/{name}-{step - 1}")
-        if steps is None:
-            now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-            if now == before:
-                break
-            before = now
-    return edges
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == before:
+            return edges
+        before = now
 
 
 def labels(edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id that contracted edges give each id; ids of one label are connected."""
-    both = edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b")))
-    return both.groupBy("id").agg(F.min("component").alias("component"))
+    """(id, component) of contracted edges."""
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b")).distinct())
 
 
 def link(docs: DataFrame, shingle: int = 5, percent: int = 80, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -253,8 +250,9 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 80, keep: tuple[str,
         else:
             pairs = _rest(left, shingles, size, folder, percent)
         new = written(confirmed(pairs), folder, f"links{turn}")
-        # labels after few steps tell some of what is connected, which is all that the next comparison leaves out
-        stars = contracted(new if stars is None else stars.union(new), folder, f"cc{turn}", None if turn == ROUNDS else FEW)
+        if turn and new.isEmpty():
+            continue
+        stars = contracted(new if stars is None else stars.union(new), folder, f"cc{turn}")
         merged = written(labels(stars), folder, f"groups{turn}")
         groups = size.join(merged.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
     keep_only(spark, folder, "rows", "signed", "reps", "sizes", *(f"groups{turn}" for turn in range(ROUNDS + 1)))
