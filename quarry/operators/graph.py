@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,15 +33,37 @@ def callers(imports: DataFrame) -> DataFrame:
     return imports.groupBy("imported_name", "source_file").agg(F.array_join(F.array_sort(F.collect_list("line_number")), ",").alias("lines"))
 
 
-STRIP = 256
+STRIP, WORD = 256, 64
+
+
+def _strips(a: str, b: str) -> list[Column]:
+    """The strip of STRIP lines that lines a to b are in, a row each."""
+    return [F.explode(F.sequence(F.floor(F.col(a) / STRIP), F.floor(F.col(b) / STRIP))).alias("strip")]
+
+
+def _lines(a: str, b: str) -> list[Column]:
+    """Lines a to b within a strip, as bits of STRIP / WORD numbers."""
+    bits = []
+    for at in range(0, STRIP, WORD):
+        low, high = (F.col(x) - F.col("strip") * STRIP - at for x in (a, b))
+        ones = F.call_function("shiftleft", F.lit(-1).cast("long"), F.greatest(low, F.lit(0)).cast("int"))
+        kept = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), (WORD - 1 - F.least(high, F.lit(WORD - 1))).cast("int"))
+        bits.append(F.when((low < WORD) & (high >= 0), ones.bitwiseAND(kept)).otherwise(0))
+    return bits
 
 
 def overlapping(symbols: DataFrame, hunks: DataFrame) -> DataFrame:
-    """Symbols that a changed range touches, each once: both are cut into strips of lines, so that a file with many of either isn't all pairs."""
-    strips = lambda a, b: F.explode(F.sequence(F.floor(a / STRIP), F.floor(b / STRIP))).alias("strip")
-    ranges = hunks.filter("start <= end").select("file_path", "start", "end", strips(F.col("start"), F.col("end")))
-    placed = symbols.filter("line_start <= line_end").select("*", strips(F.col("line_start"), F.col("line_end")))
-    return placed.join(ranges, ["file_path", "strip"]).filter("line_start <= end and line_end >= start").select(symbols.columns).dropDuplicates(["name", "file_path", "line_start"])
+    """Symbols that a changed range touches, each once.
+
+    The changed lines of each strip of a file are one row of bits, however many ranges there are, so a symbol meets
+    one row in each of its strips and never all ranges of its file.
+    """
+    names = [f"lines{i}" for i in range(STRIP // WORD)]
+    ranges = hunks.filter("start <= end").select("file_path", "start", "end").distinct().select("*", *_strips("start", "end"))
+    changed = ranges.groupBy("file_path", "strip").agg(*(F.bit_or(x).alias(n) for n, x in zip(names, _lines("start", "end"), strict=True)))
+    placed = symbols.filter("line_start <= line_end").select("*", *_strips("line_start", "line_end"))
+    touched = reduce(or_, (F.col(n).bitwiseAND(x) != 0 for n, x in zip(names, _lines("line_start", "line_end"), strict=True)))
+    return placed.join(changed, ["file_path", "strip"]).filter(touched).select(symbols.columns).dropDuplicates(["name", "file_path", "line_start"])
 
 
 def impact(symbols: DataFrame, hunks: DataFrame, imports: DataFrame) -> DataFrame:
