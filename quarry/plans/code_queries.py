@@ -45,10 +45,15 @@ def _expected(table: str, key: str, columns: dict[str, str], rows: list[tuple])
     return f"select {out} from {table} cross join (values {values}) v({', '.join(columns)})"
 
 
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    """The keys of all parts, dealt out: a small table lies in a split or two, but its files take long to read."""
+    return R.table(spark, d, "part").select("p_partkey").repartition(spark.sparkContext.defaultParallelism)
+
+
 def _sources(spark: SparkSession, d: str, path: str, text: str) -> DataFrame:
     """One file for each part."""
     key = F.col("p_partkey")
-    return R.table(spark, d, "part").select(_put(path, key).alias("path"), _put(text, key).alias("content"))
+    return _parts(spark, d).select(_put(path, key).alias("path"), _put(text, key).alias("content"))
 
 
 RUST = """use crate::core::{run{k}, self, Other as O, deep::{One, Two as T}};
@@ -140,11 +145,11 @@ _CODE = {
 
 def _code(name: str) -> None:
     path, text, symbols, imports, declared = _CODE[name]
-    found = lambda s, d: extract.parsed(_sources(s, d, path, text))
-    _add(f"extract_symbols_{name}", lambda s, d: extract.symbols(found(s, d)).drop("ord"), _expected("part", "p_partkey", _SYMBOL, [(path, *r) for r in symbols]))
+    found = lambda s, d, what: extract.parsed(_sources(s, d, path, text), only=(what,))
+    _add(f"extract_symbols_{name}", lambda s, d: extract.symbols(found(s, d, "symbols")).drop("ord"), _expected("part", "p_partkey", _SYMBOL, [(path, *r) for r in symbols]))
     none = lambda s: s.createDataFrame([], "path string")
-    _add(f"extract_imports_{name}", lambda s, d: extract.imports(found(s, d), none(s)).drop("target_path"), _expected("part", "p_partkey", _IMPORT, [(path, *r) for r in imports]))
-    _add(f"describe_{name}", lambda s, d: found(s, d).select("path", "declared"), _expected("part", "p_partkey", {"path": "text", "declared": "text"}, [(path, declared)]))
+    _add(f"extract_imports_{name}", lambda s, d: extract.imports(found(s, d, "imports"), none(s)).drop("target_path"), _expected("part", "p_partkey", _IMPORT, [(path, *r) for r in imports]))
+    _add(f"describe_{name}", lambda s, d: found(s, d, "declared").select("path", "declared"), _expected("part", "p_partkey", {"path": "text", "declared": "text"}, [(path, declared)]))
 
 
 for _name in _CODE:
@@ -153,7 +158,7 @@ for _name in _CODE:
 _CLAUSES = "const a{k} = 1;\nfunction b() { }\nclass C { m() { } }\nconst d = 2;\nexport { a{k}, b as e };\nmodule.exports = { C };\n"
 _CLAUSE_ROWS = [("w/x{k}.js", "a{k}", True), ("w/x{k}.js", "b", True), ("w/x{k}.js", "C", True), ("w/x{k}.js", "C::m", True), ("w/x{k}.js", "d", False)]
 _CLAUSE = {"file_path": "text", "name": "text", "exported": "boolean"}
-_add("extract_symbols_export_clauses", lambda s, d: extract.symbols(extract.parsed(_sources(s, d, "w/x{k}.js", _CLAUSES), resolve_export_clauses=True)).select(*_CLAUSE), _expected("part", "p_partkey", _CLAUSE, _CLAUSE_ROWS))
+_add("extract_symbols_export_clauses", lambda s, d: extract.symbols(extract.parsed(_sources(s, d, "w/x{k}.js", _CLAUSES), resolve_export_clauses=True, only=("symbols",))).select(*_CLAUSE), _expected("part", "p_partkey", _CLAUSE, _CLAUSE_ROWS))
 
 # sources with their imports, the files that are there, and what each import means
 _EDGES = [
@@ -168,9 +173,9 @@ _THERE = ["web/a/t{k}.tsx", "web/a/t{k}.js", "web/d{k}/index.js", "web/d{k}/inde
 def _resolved(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("p_partkey")
     made = F.explode(F.array(*(F.struct(_put(p, key).alias("path"), _put(t, key).alias("content")) for p, t, _ in _EDGES))).alias("f")
-    files = R.table(spark, d, "part").select(made).select("f.*")
+    files = _parts(spark, d).select(made).select("f.*")
     listing = R.table(spark, d, "part").select(F.explode(F.array(*(_put(p, key) for p in _THERE))).alias("path")).distinct()
-    return extract.imports(extract.parsed(files), listing).select("source_file", "imported_name", "target_path")
+    return extract.imports(extract.parsed(files, only=("imports",)), listing).select("source_file", "imported_name", "target_path")
 
 
 _add("resolve_imports", _resolved, _expected("part", "p_partkey", {"source_file": "text", "imported_name": "text", "target_path": "text"}, [(p, *r) for p, _, rows in _EDGES for r in rows]))

@@ -94,3 +94,29 @@ def test_imports_are_not_read_from_comments_or_strings():
     assert [(i.name, i.raw_path, i.line) for i in imports('"""\nfrom .fake import x\n"""\nfrom ..pkg import (a as b,  # one\n    c)\nfrom . import *\n# from .no import z\n', "py")] == [("a", "..pkg", 4), ("c", "..pkg", 4)]
     assert [(i.name, i.raw_path) for i in imports("/* use crate::no::X; */\nuse crate::a::{b::{c, d as e}, self, f::*, g};\npub use crate::top;\nuse std::fs;\nuse crate::h::I as J;\n", "rs")] == [("c", "crate::a::b"), ("d", "crate::a::b"), ("*", "crate::a::f"), ("g", "crate::a"), ("top", "crate"), ("I", "crate::h")]
     assert [(i.name, i.line) for i in imports('package p\n// import "no"\nimport f "fmt"\nimport (\n\t"a/b"\n\t. "c" // "d"\n)\n', "go")] == [("fmt", 3), ("b", 5), ("c", 6)]
+
+
+def test_imports_are_resolved_without_broadcasting_the_listing(spark):
+    text = "from .a import x\nfrom .a import y\nfrom . import z\nfrom .none import w\n"
+    files = spark.createDataFrame([("p/m.py", text), ("p/m.py", text), ("q/n.go", 'import "a"\n'), ("r.md", None)], "path string, content string")
+    listing = spark.createDataFrame([("p/a.py",), ("p/a/__init__.py",), ("p/__init__.py",), ("p/__init__.py",)], "path string")
+    found = extract.imports(extract.parsed(files, only=("imports",)), listing)
+    plan = found._jdf.queryExecution().executedPlan().toString()  # before a run, which would add the final plan
+    got = sorted((r.source_file, r.imported_name, r.target_path, r.raw_path, r.line_number) for r in found.collect())
+    once = [("p/m.py", "w", "", ".none", 4), ("p/m.py", "x", "p/a.py", ".a", 1), ("p/m.py", "y", "p/a.py", ".a", 2), ("p/m.py", "z", "p/__init__.py", ".", 3)]
+    assert got == sorted([*once, *once, ("q/n.go", "a", "", "a", 1)])
+    assert "Broadcast" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_only_what_is_wanted_is_read(spark, monkeypatch):
+    files = spark.createDataFrame([("a/b.js", "import { c } from './c';\nexport class D { m() { } }\n", 7), ("x.py", None, None)], "path string, content string, size int")
+    whole = extract.parsed(files)
+    assert whole.columns == ["path", "size", "declared", "density", "symbols", "imports"]
+    for name in extract.PARSED:
+        part = extract.parsed(files, only=(name,))
+        assert part.columns == ["path", "size", name] and part.collect() == whole.select("path", "size", name).collect()
+    batch = extract.pa.RecordBatch.from_pydict({"path": ["m.js"], "content": ["export class D { }"]})
+    monkeypatch.setattr("quarry.lang.reader.imports", lambda *a: 1 / 0)
+    monkeypatch.setattr("quarry.lang.summary.summary", lambda *a: 1 / 0)
+    (out,) = extract._parse([batch], {"symbols": extract.to_arrow_type(whole.schema["symbols"].dataType)})
+    assert [s["name"] for s in out["symbols"][0].as_py()] == ["D"]
