@@ -7,7 +7,7 @@ intersected; what both terms agree on is compared with the hash of the whole win
 same kind of index with a slop.
 
 No join is hinted: what is looked up is a table of its own, which the planner broadcasts by its size in bytes or,
-beyond that, shuffles.
+beyond that, shuffles. Rows to compare are told by a bit each, so that the others are never shuffled.
 Rows are told apart by a number that they get when they are written, so rows without doc_id and repeated ids with
 different texts are checked each by its own text. Null and empty texts have no words. Items without words are
 ignored. Repeated rows get the same result each.
@@ -30,9 +30,9 @@ def alnum_words(text: Column) -> Column:
 
 
 def split_rows(docs: DataFrame, folder: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(row, doc_id, words, keep...) of all texts as a table: each text is split once, its row number is fixed."""
+    """(row, doc_id, words, n_words, keep...) of all texts as a table: each text is split once, its row number is fixed."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), alnum_words(F.col("text").cast("string")).alias("words"), *keep)
-    return written(rows, folder, "words")
+    return written(rows.withColumn("n_words", F.size("words").cast("long")), folder, "words")
 
 
 def item_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -108,8 +108,21 @@ def covered(hits: Column) -> Column:
     return F.aggregate(hits, F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), step, lambda acc: acc["n"])
 
 
+BLOCK = 64
+
+
+def marked(rows: DataFrame, some: DataFrame) -> DataFrame:
+    """rows with the boolean `marked`: whether `some` has their number. A bit a row is looked up, so that rows needn't be dealt out by number."""
+    block, bit = F.floor(F.col("row") / BLOCK), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("row", F.lit(BLOCK)).cast("int"))
+    bits = written(some.groupBy(block.alias("block")).agg(F.bit_or(bit).alias("bits")), scratch(rows.sparkSession), "bits")
+    return rows.withColumn("block", block).join(bits, "block", "left").withColumn("marked", F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False))).drop("block", "bits")
+
+
 def check(docs: DataFrame, items: DataFrame, size: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, hits (sorted start and n_terms) and, with keep, those columns as the struct `input`."""
+    """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, hits (sorted start and n_terms) and, with keep, those columns as the struct `input`.
+
+    Only rows with a place to compare move to their places; all others stay where they are and have no hits.
+    """
     folder = scratch(docs.sparkSession)
     kept = F.struct(*keep).alias("input") if keep else F.lit(None).cast("int").alias("input")
     rows = split_rows(docs, folder, (kept,))
@@ -119,19 +132,20 @@ def check(docs: DataFrame, items: DataFrame, size: int = WINDOW, keep: tuple[str
     wanted = written(rarest(windows, counts), folder, "wanted")
     index = written(postings(rows, written(wanted.select("term").distinct(), folder, "looked_up")), folder, "postings")
     starts = phrase_starts(index, wanted)
-    places = starts.groupBy("row").agg(F.collect_set(F.struct("start", "window", "n_terms")).alias("places"))
-    places = written(places, folder, "places")
+    places = written(starts.groupBy("row").agg(F.collect_set(F.struct("start", "window", "n_terms")).alias("places")), folder, "places")
+    keep_only(docs.sparkSession, folder, "words", "windows", "places")
+    rows = marked(rows, places)
     same = lambda p: F.xxhash64(F.slice("words", p["start"] + 1, p["n_terms"]), p["n_terms"]) == p["window"]
-    found = F.coalesce(F.filter("places", same), F.array().cast("array<struct<start:int,window:bigint,n_terms:int>>"))
-    checked = rows.join(places, "row", "left").select("row", "doc_id", "input", F.size("words").cast("long").alias("n_words"), found.alias("places"))
+    compared = rows.filter("marked").select("row", "words").join(places, "row").select("row", F.filter("places", same).alias("places")).filter("size(places) > 0")
     hits = F.array_sort(F.array_distinct(F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["n_terms"].alias("n_terms")))))
-    checked = checked.select("row", "doc_id", "input", "n_words", hits.alias("hits"), F.array_distinct(F.transform("places", lambda p: p["window"])).alias("found"))
-    checked = written(checked, folder, "checked")
-    keep_only(docs.sparkSession, folder, "checked", "windows")
+    found = written(compared.select("row", hits.alias("hits"), F.array_distinct(F.transform("places", lambda p: p["window"])).alias("found")), folder, "found")
     owners = windows.select("window", "item_id").distinct()
-    hit = checked.select("row", F.explode("found").alias("window")).join(owners, "window")
-    owned = hit.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    ids = F.coalesce("items", F.array().cast("array<string>"))
-    out = checked.join(owned, "row", "left").select("doc_id", "input", "n_words", covered(F.col("hits")).cast("long").alias("n_hit"), ids.alias("items"), "hits")
+    owned = found.select("row", F.explode("found").alias("window")).join(owners, "window").groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    judged = written(found.select("row", "hits").join(owned, "row"), folder, "judged")
+    keep_only(docs.sparkSession, folder, "words", "judged")
+    rows = marked(rows.drop("marked", "words"), judged)
+    none = [F.array().cast(judged.schema[c].dataType).alias(c) for c in ("hits", "items")]
+    out = rows.filter("marked").join(judged, "row").select("doc_id", "input", "n_words", "hits", "items").union(rows.filter("not marked").select("doc_id", "input", "n_words", *none))
+    out = out.withColumn("n_hit", covered(F.col("hits")).cast("long"))
     columns = ("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha256(F.array_join("items", ",")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items", "hits")
     return out.select(*columns, *(["input"] if keep else []))

@@ -16,6 +16,9 @@ SPACE = "[ \\x09-\\x0D]+"
 NOT_ALNUM = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
+#: Else shuffle files stay until the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _folders: list[str] = []
 
 
@@ -52,9 +55,14 @@ def keep_only(spark: SparkSession, folder: str, *names: str) -> None:
 
 
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """df as a table of the shared folder: cuts lineage, survives lost executors."""
-    path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    """df as a table of the shared folder: cuts lineage, survives lost executors. What was shuffled for it is deleted once it is there."""
+    path, conf = f"{folder}/{name}", df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -4,6 +4,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate as D
 
@@ -98,3 +99,26 @@ def test_near_matches_against_brute_force(spark):
                     want.add((d, item, i, max(seen[y] for y in need)))
     got = D.proximity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"), slop)
     assert {tuple(r) for r in got.collect()} == want
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have written for a shuffle."""
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, none, None)
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_only_rows_to_compare_are_shuffled(spark, tmp_path):
+    leaked = " ".join(f"x{i}" for i in range(60))
+    clean = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(1999)), lambda i: F.hash(i, "id").cast("string")), " ")
+    docs = spark.range(0, 2000, 1, 8).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 5 == 0, F.lit(leaked)).otherwise(clean).alias("text"))
+    docs.write.parquet(str(tmp_path / "docs"))
+    items = spark.createDataFrame([(1, leaked)], "item_id long, text string")
+    before = set(shuffled(spark))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10k")  # places are larger, a bit a row isn't
+    try:
+        got = D.check(spark.read.parquet(str(tmp_path / "docs")), items, keep=("text",)).groupBy("n_words", "n_hit", "items").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {tuple(map(str, r)) for r in got} == {("60", "60", "['1']", "400"), ("2000", "0", "[]", "1600")}
+    assert sum(n for k, n in shuffled(spark).items() if k not in before and n > 5e6) == 0  # the clean texts have 35 MB
