@@ -113,8 +113,10 @@ def _choices(classes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _slots(features: np.ndarray, nodes: np.ndarray, size: int) -> np.ndarray:
     """Where the weights of each feature at the nodes stand: (features, depth, tokens)."""
-    shift = np.uint32(33 - size.bit_length())
-    return (((features[:, None, :] ^ (nodes * _NODE)[None]) * _SPREAD) >> shift).astype(np.intp)
+    at = features[:, None, :] ^ (nodes * _NODE)[None]
+    at *= _SPREAD
+    at >>= np.uint32(33 - size.bit_length())
+    return at.astype(np.intp)
 
 
 def log_choices(weights: np.ndarray, odds: np.ndarray, features: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -126,21 +128,22 @@ def log_choices(weights: np.ndarray, odds: np.ndarray, features: np.ndarray, cla
 
 
 class Slopes:
-    """Sums of slopes and curvatures of the log-likelihood at fixed weights."""
+    """Sums of slopes and curvatures of the log-likelihood at fixed weights: a weight's two lie side by side, as the parts of a complex number, so that both are reached at once."""
 
     def __init__(self, weights: np.ndarray, odds: np.ndarray) -> None:
         self.weights, self.odds = weights, odds
-        self.slope, self.curve = np.zeros(len(weights), np.float32), np.zeros(len(weights), np.float32)
+        self.sums = np.zeros(len(weights), np.complex64)
+        self.slope, self.curve = self.sums.real, self.sums.imag
 
     def add(self, features: np.ndarray, classes: np.ndarray) -> None:
         nodes, second = _choices(classes, len(self.odds).bit_length() - 1)
         slots = _slots(features, nodes, len(self.weights))
         z = self.odds[nodes] + self.weights[slots].sum(0)
         p = 1 / (1 + np.exp(-z, dtype=np.float32))
-        g, h = (second - p).astype(np.float32).ravel(), (p * (1 - p)).ravel()
+        both = np.empty(p.size, np.complex64)
+        both.real, both.imag = (second - p).ravel(), (p * (1 - p)).ravel()
         for s in slots.reshape(len(slots), -1):
-            np.add.at(self.slope, s, g)
-            np.add.at(self.curve, s, h)
+            np.add.at(self.sums, s, both)
 
 
 def newton(weights: np.ndarray, slope: np.ndarray, curve: np.ndarray, share: float = 1.0) -> np.ndarray:

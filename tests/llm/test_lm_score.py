@@ -1,12 +1,15 @@
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 
+from quarry.llm import lm_score as M
 from quarry.llm.lm_score import ALPHA, Classes, Slopes, _features, log_choices, newton, score
+from quarry.llm.shared import written
 
 SF = "/root/testdata/sf0.01"
 
@@ -106,3 +109,31 @@ def test_edges(spark):
     assert sorted(r.n_tokens for r in rows) == [1, 1, 3, 4, 4]
     assert all(r.train_tokens == 10 for r in rows)
     assert score(df.limit(0)).count() == 0
+
+
+def test_sums_of_both_kinds_are_those_of_one_at_a_time():
+    r = np.random.default_rng(5)
+    features, classes = r.integers(0, 2**32, (3, 500), dtype=np.uint32), r.integers(0, 16, 500)
+    weights, odds = r.normal(size=1 << 8).astype(np.float32), r.normal(size=16).astype(np.float32)
+    sums = M.Slopes(weights, odds)
+    sums.add(features, classes)
+    nodes, second = M._choices(classes, 4)
+    slots = M._slots(features, nodes, len(weights))
+    p = 1 / (1 + np.exp(-(odds[nodes] + weights[slots].sum(0)), dtype=np.float32))
+    for got, each in ((sums.slope, second - p), (sums.curve, p * (1 - p))):
+        want = np.zeros(len(weights), np.float32)
+        for s in slots:
+            np.add.at(want, s.ravel(), each.astype(np.float32).ravel())
+        assert np.array_equal(got, want) and want.any()
+
+
+def test_shuffle_files_go_once_a_table_is_written(spark, tmp_path):
+    kept = lambda: spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().size()
+    before, rows = kept(), spark.range(200_000, numPartitions=4).selectExpr("id % 9973 as k").groupBy("k").count()
+    table = written(rows, str(tmp_path), "counts")
+    for _ in range(50):
+        if kept() <= before:
+            assert table.count() == 9973
+            return
+        time.sleep(0.1)
+    raise AssertionError(kept() - before)
