@@ -137,7 +137,8 @@ def check(docs: DataFrame, items: DataFrame, size: int = WINDOW, keep: tuple[str
     rows = marked(rows, places)
     same = lambda p: F.xxhash64(F.slice("words", p["start"] + 1, p["n_terms"]), p["n_terms"]) == p["window"]
     compared = rows.filter("marked").select("row", "words").join(places, "row").select("row", F.filter("places", same).alias("places")).filter("size(places) > 0")
-    hits = F.array_sort(F.array_distinct(F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["n_terms"].alias("n_terms")))))
+    # the window follows from where it stands and how long it is, so hits of distinct places are distinct
+    hits = F.array_sort(F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["n_terms"].alias("n_terms"))))
     found = written(compared.select("row", hits.alias("hits"), F.array_distinct(F.transform("places", lambda p: p["window"])).alias("found")), folder, "found")
     owners = windows.select("window", "item_id").distinct()
     owned = found.select("row", F.explode("found").alias("window")).join(owners, "window").groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
