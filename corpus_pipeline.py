@@ -29,7 +29,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.link(docs, SHINGLE, PERCENT, keep=tuple(docs.columns)).filter("first").select("input.*")
+    return near_dedup.firsts(docs, SHINGLE, PERCENT)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

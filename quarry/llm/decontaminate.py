@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.shared import NOT_ALNUM, keep_only, lower_ascii, scratch, split_words, written
+from quarry.llm.shared import NOT_ALNUM, keep_only, lower_ascii, marked, numbered, scratch, split_words, written
 from quarry.llm.spans import sha256
 
 WINDOW, RARE = 10, 2
@@ -29,9 +29,10 @@ def alnum_words(text: Column) -> Column:
     return split_words(lower_ascii(text), NOT_ALNUM)
 
 
-def split_rows(docs: DataFrame, folder: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(row, doc_id, words, n_words, keep...) of all texts as a table: each text is split once, its row number is fixed."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), alnum_words(F.col("text").cast("string")).alias("words"), *keep)
+def split_rows(docs: DataFrame, folder: str, row: Column | None = None) -> DataFrame:
+    """(row, doc_id, words, n_words) of all texts as a table: each text is split once, its row number is fixed."""
+    row = F.monotonically_increasing_id() if row is None else row
+    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long"), alnum_words(F.col("text").cast("string")).alias("words"))
     return written(rows.withColumn("n_words", F.size("words").cast("long")), folder, "words")
 
 
@@ -108,24 +109,17 @@ def covered(hits: Column) -> Column:
     return F.aggregate(hits, F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), step, lambda acc: acc["n"])
 
 
-BLOCK = 64
-
-
-def marked(rows: DataFrame, some: DataFrame) -> DataFrame:
-    """rows with the boolean `marked`: whether `some` has their number. A bit a row is looked up, so that rows needn't be dealt out by number."""
-    block, bit = F.floor(F.col("row") / BLOCK), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("row", F.lit(BLOCK)).cast("int"))
-    bits = written(some.groupBy(block.alias("block")).agg(F.bit_or(bit).alias("bits")), scratch(rows.sparkSession), "bits")
-    return rows.withColumn("block", block).join(bits, "block", "left").withColumn("marked", F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False))).drop("block", "bits")
-
-
 def check(docs: DataFrame, items: DataFrame, size: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, hits (sorted start and n_terms) and, with keep, those columns as the struct `input`.
 
-    Only rows with a place to compare move to their places; all others stay where they are and have no hits.
+    Only rows with a place to compare move to their places; all others stay where they are and have no hits. With keep,
+    docs are stored beside their words, which go before the result is read: n_words is counted anew if it is asked for.
     """
     folder = scratch(docs.sparkSession)
-    kept = F.struct(*keep).alias("input") if keep else F.lit(None).cast("int").alias("input")
-    rows = split_rows(docs, folder, (kept,))
+    if keep:
+        docs = numbered(docs.select(F.struct(*dict.fromkeys(("doc_id", "text", *keep))).alias("input")), folder)
+        docs = docs.select("row", F.col("input.doc_id").alias("doc_id"), F.col("input.text").alias("text"), F.struct(*(F.col(f"input.{c}").alias(c) for c in keep)).alias("input"))
+    rows = split_rows(docs, folder, F.col("row") if keep else None)
     windows = written(item_windows(items, size), folder, "windows")
     terms = written(windows.select(F.explode("terms").alias("term")).distinct(), folder, "terms")
     counts = written(term_counts(rows, terms), folder, "counts")
@@ -133,7 +127,7 @@ def check(docs: DataFrame, items: DataFrame, size: int = WINDOW, keep: tuple[str
     index = written(postings(rows, written(wanted.select("term").distinct(), folder, "looked_up")), folder, "postings")
     starts = phrase_starts(index, wanted)
     places = written(starts.groupBy("row").agg(F.collect_set(F.struct("start", "window", "n_terms")).alias("places")), folder, "places")
-    keep_only(docs.sparkSession, folder, "words", "windows", "places")
+    keep_only(docs.sparkSession, folder, "rows", "words", "windows", "places")
     rows = marked(rows, places)
     same = lambda p: F.xxhash64(F.slice("words", p["start"] + 1, p["n_terms"]), p["n_terms"]) == p["window"]
     compared = rows.filter("marked").select("row", "words").join(places, "row").select("row", F.filter("places", same).alias("places")).filter("size(places) > 0")
@@ -143,8 +137,12 @@ def check(docs: DataFrame, items: DataFrame, size: int = WINDOW, keep: tuple[str
     owners = windows.select("window", "item_id").distinct()
     owned = found.select("row", F.explode("found").alias("window")).join(owners, "window").groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     judged = written(found.select("row", "hits").join(owned, "row"), folder, "judged")
-    keep_only(docs.sparkSession, folder, "words", "judged")
-    rows = marked(rows.drop("marked", "words"), judged)
+    keep_only(docs.sparkSession, folder, "judged", "rows" if keep else "words")
+    if keep:
+        rows = docs.select("row", F.col("doc_id").cast("long"), "input", F.size(alnum_words(F.col("text").cast("string"))).cast("long").alias("n_words"))
+    else:
+        rows = rows.select("row", "doc_id", F.lit(None).cast("int").alias("input"), "n_words")
+    rows = marked(rows, judged)
     none = [F.array().cast(judged.schema[c].dataType).alias(c) for c in ("hits", "items")]
     out = rows.filter("marked").join(judged, "row").select("doc_id", "input", "n_words", "hits", "items").union(rows.filter("not marked").select("doc_id", "input", "n_words", *none))
     out = out.withColumn("n_hit", covered(F.col("hits")).cast("long"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.hashing import U, mixed, windows, word_chunks
-from quarry.llm.shared import dropped, keep_only, numbered, scratch, written
+from quarry.llm.shared import dropped, keep_only, marked, numbered, scratch, written
 
 CHUNKS, WIDTH, ROUNDS, RARE = 10, 5, 1, 8
 SYMBOLS = CHUNKS * WIDTH
@@ -211,6 +211,21 @@ def labels(edges: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame, shingle: int = 5, percent: int = 80, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id is that), first (the row that stands for its component), and, with keep, those columns as the struct `input`."""
+    rows, out = _linked(docs, shingle, percent, keep)
+    if keep:
+        out = rows.join(out, "row")
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("first")).alias("kept"), "first", *([F.struct(*(F.col(f"input.{c}").alias(c) for c in keep)).alias("input")] if keep else []))
+
+
+def firsts(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that stand for their component. Rows stay where they are: a bit each tells which."""
+    rows, out = _linked(docs, shingle, percent, tuple(docs.columns))
+    rows = marked(rows, out.filter("first")).filter("marked")
+    return rows.select(*(F.col("input")[c].alias(c) for c in docs.columns))
+
+
+def _linked(docs: DataFrame, shingle: int, percent: int, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(row, input) and (row, doc_id, n_shingles, component_id, first); with keep nothing else is left, and input has those columns."""
     spark, folder = docs.sparkSession, scratch(docs.sparkSession)
     rows = numbered(docs.select(F.struct(*dict.fromkeys(("doc_id", "text", *keep))).alias("input")), folder)
     docs = rows.select("row", F.col("input.doc_id").cast("long").alias("doc_id"), F.col("input.text").cast("string").alias("text"))
@@ -221,7 +236,7 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 80, keep: tuple[str,
     keys = reps.select("rep", "signature").mapInArrow(_keys, "key long, rep long")
     often = written(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), folder, "often")
     met = written(keys.join(often, "key"), folder, "met")
-    spread = docs.select(F.col("row").alias("rep"), "text").join(met.select("rep").distinct(), "rep")
+    spread = marked(docs.select("row", "text"), met.select(F.col("rep").alias("row"))).filter("marked").withColumnRenamed("row", "rep")
     shingles = written(spread.select("rep", "text").mapInArrow(_shingle_sets(shingle), "rep long, shingles binary"), folder, "shingles")
     size = written(_own_shingles(shingles).join(reps, "rep").select("rep", F.col("n_shingles").alias("size"), "own", "signature"), folder, "sizes")
     shared = written(_able(met.join(size.select("rep", "size", "own"), "rep"), percent), folder, "shared")
@@ -263,5 +278,6 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 80, keep: tuple[str,
     empty = F.col("n_shingles") == 0
     out = out.select("row", "doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (empty | (F.col("row") == F.col("first"))).alias("first"))
     if keep:
-        out = rows.join(out, "row")
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("first")).alias("kept"), "first", *([F.struct(*(F.col(f"input.{c}").alias(c) for c in keep)).alias("input")] if keep else []))
+        out = written(out, folder, "judged")
+        keep_only(spark, folder, "rows", "judged")
+    return rows, out

@@ -157,7 +157,10 @@ def probability(weights: dict[str, float], kind: Column, vote: dict[str, Column]
 
 
 def find(docs: DataFrame, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, found (the spans as an array) and, with keep, those columns as the struct `input`."""
+    """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, found (the spans as an array) and, with keep, those columns as the struct `input`.
+
+    With keep, candidates are found twice, for the classifier and as the result is read, instead of being stored with a copy of docs.
+    """
     spark, folder = docs.sparkSession, scratch(docs.sparkSession)
     docs = docs.select(F.struct(*keep).alias("input") if keep else F.lit(None).cast("int").alias("input"), F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     text = F.col("text")
@@ -174,7 +177,7 @@ def find(docs: DataFrame, threshold: float = THRESHOLD, keep: tuple[str, ...] =
 
     held = held.withColumn("candidates", F.concat(*map(seen, KINDS)))
     out = ["doc_id", "input", base.alias("base"), *(F.size(k).cast("long").alias(f"n_{k}") for k in BASE), "candidates"]
-    held = written(held.select(*out), folder, "candidates")
+    held = held.select(*out) if keep else written(held.select(*out), folder, "candidates")
     each = held.select(F.explode("candidates").alias("c")).select("c.*")
     voted = each.select("kind", *(v.alias(k) for k, v in votes(F.col("kind"), F.col("value"), F.col("before")).items()))
     rows = [(r.kind, tuple(r[k] for k in LABELERS), r["count"]) for r in voted.groupBy("kind", *LABELERS).count().orderBy("kind", *LABELERS).collect()]

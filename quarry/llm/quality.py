@@ -189,24 +189,30 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, pair_rounds: int = 20, r
 def score(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held: int = 2, train_rows: int = TRAIN_ROWS, threshold: float = 0.7, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: doc_id, held_out, score (higher: label 1 likelier), predicted (score >= threshold) and, with keep, those columns as the struct `input`.
 
-    Rows of fold `held` (crc32 of the id as text modulo folds) take no part in the fit.
+    Rows of fold `held` (crc32 of the id as text modulo folds) take no part in the fit. The rows to fit on are chosen by
+    id first, so that features of all rows are made once, as the result is read, and docs are stored nowhere.
     """
     spark, folder = docs.sparkSession, scratch(docs.sparkSession)
     kept = F.struct(*keep) if keep else F.lit(None).cast("int")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), kept.alias("input"))
-    own = T.StructType([docs.schema["doc_id"], docs.schema["input"]])
-    found = written(docs.mapInArrow(_emit_features, T.StructType([*own, T.StructField("x", T.ArrayType(T.FloatType()))])), folder, "features")
+
+    def featured(rows: DataFrame) -> DataFrame:
+        return rows.mapInArrow(_emit_features, T.StructType([rows.schema["doc_id"], rows.schema["input"], T.StructField("x", T.ArrayType(T.FloatType()))]))
+
     known = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("y")).filter("y is not null and doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
-    learned = known.filter(remainder(F.col("doc_id"), folds) != held).join(found.filter("doc_id is not null"), "doc_id")
-    rows = learned.select("x", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).collect()
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    chosen = known.filter(remainder(F.col("doc_id"), folds) != held).join(docs.select("doc_id"), "doc_id").orderBy(*order).limit(train_rows)
+    chosen = written(chosen.distinct(), folder, "chosen")
+    # train_rows bounds what is sent to all tasks
+    learned = featured(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("y").alias("input")))
+    rows = learned.select("x", F.col("input").alias("y")).orderBy(*order).limit(train_rows).collect()
     x = np.array([r.x for r in rows], float).reshape(len(rows), len(FEATURES))
     model = spark.sparkContext.broadcast(fit(x, np.array([r.y for r in rows], float)))
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.asarray(batch.column("x").flatten(), float).reshape(batch.num_rows, len(FEATURES))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "input": batch.column("input"), "score": pa.array(model.value.score(x))})
+    def scored(text: pa.Array) -> pa.Array:
+        return pa.array(model.value.score(text_features(text).astype(np.float32).astype(float)))
 
-    out = found.mapInArrow(scored, T.StructType([*own, T.StructField("score", T.DoubleType())]))
+    # only the text goes to Python; nondeterministic, else a filter on the score makes it twice
+    out = docs.select("doc_id", "input", F.arrow_udf(scored, "double").asNondeterministic()("text").alias("score"))
     held_out = F.coalesce(remainder(F.col("doc_id"), folds) == held, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *([F.col("input")] if keep else []))

@@ -1,6 +1,7 @@
 import re
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 
@@ -107,3 +108,17 @@ def test_the_query_moves_its_ids(spark, monkeypatch):
     asked, plain = [], packing.pack
     monkeypatch.setattr(packing, "pack", lambda docs, **more: (asked.append(more), plain(docs, **more))[1])
     assert "ids" not in queries.QUERIES["op8_packing"](spark, SF).columns and asked == [{}]
+
+
+def test_stages_leave_one_copy_of_what_they_read_at_most(spark, tmp_path):
+    """Quality and personal data leave none; the next stages' disk comes on top of what is left."""
+    sf, base = "/root/testdata/sf0.01", Path(scratch(spark)).parent
+    size = lambda path: sum(p.stat().st_size for p in path.rglob("*.parquet"))
+    docs, last, left = table(spark, sf, "documents"), Path(sf, "documents.parquet"), {}
+    read = last.stat().st_size if last.is_file() else size(last)
+    for name, stage in P.STAGES[:-1]:
+        before = size(base)
+        docs = written(stage(spark, docs, sf), str(tmp_path), name)
+        left[name] = (size(base) - before) / read
+        read = size(tmp_path / name)
+    assert left["quality"] < 0.2 and left["near_dedup"] < 1.5 and left["decontaminate"] < 1.5 and left["pii"] < 0.2, left
